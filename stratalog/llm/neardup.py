@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder:
     3. First join: members meet the list's hubs (about 1.5 log2 of its members). Collisions are counted over both
        signatures; AGREE or more, and sizes that allow it, go to whole sets. What is confirmed makes components.
     4. Second join: in lists that still hold several components, members outside the largest meet all members of
-       other components, so no pair of a list is left that is neither compared nor already connected. No list is
+       other components, each pair in the first list that holds both, so no pair is left that is neither compared nor already connected. No list is
        gathered in a task, and none is paired with itself throughout.
     5. Components of all links, with the copies put back.
 
@@ -183,12 +183,16 @@ def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder:
     named = postings.join(lists.select("token"), "token").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = stored(named, folder, "named")
     open_lists = named.groupBy("token", "label").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "label"))["label"].alias("main")).where("parts > 1").select("token", "main")
-    held = stored(named.join(open_lists, "token").join(classes.select("rep", "held"), "rep"), folder, "open")
-    left = held.where("label != main").select("token", F.col("rep").alias("r1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("held").alias("s1"))
-    right = held.select("token", F.col("rep").alias("r2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("held").alias("s2"), "main")
-    meet = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & ((F.col("l2") == F.col("main")) | (F.col("r1") < F.col("r2"))) & _sizes_allow(F.col("n1"), F.col("n2"), shingling.percent) & (F.size(F.array_intersect("s1", "s2")) >= AGREE)
-    second = left.join(right, meet).select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    second = stored(second, folder, "second")
+    still = stored(named.join(open_lists, "token"), folder, "still")
+    where = still.groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("places"))
+    held = stored(still.join(where, "rep").join(classes.select("rep", "held"), "rep"), folder, "open")
+    left = held.where("label != main").select("token", F.col("rep").alias("r1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("held").alias("s1"), F.col("places").alias("p1"))
+    right = held.select("token", F.col("rep").alias("r2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("held").alias("s2"), F.col("places").alias("p2"), "main")
+    # a pair meets in the first of the lists that hold both
+    once = F.array_min(F.array_intersect("p1", "p2")) == left["token"]
+    meet = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & ((F.col("l2") == F.col("main")) | (F.col("r1") < F.col("r2"))) & _sizes_allow(F.col("n1"), F.col("n2"), shingling.percent) & once & (F.size(F.array_intersect("s1", "s2")) >= AGREE)
+    second = left.join(right, meet).select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v"))
+    second = stored(second.join(first, ["u", "v"], "left_anti"), folder, "second")
     if second.isEmpty():
         final = labels
     else:
