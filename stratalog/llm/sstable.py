@@ -204,7 +204,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sha
             foot = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "path": [path], "records": pa.array([foot["records"]], pa.int64()), "tokens": pa.array([foot["tokens"]], pa.int64())})
 
-    return [r.asDict() for r in rows.mapInArrow(write, "shard long, path string, records long, tokens long").orderBy("shard").collect()]
+    # sorted here: a distributed sort would sample its input first, and so make every shard twice
+    made = rows.mapInArrow(write, "shard long, path string, records long, tokens long").collect()
+    return [r.asDict() for r in sorted(made, key=lambda r: r["shard"])]
 
 
 def read_shards(spark: SparkSession, shards: list[dict], with_ids: bool = False) -> DataFrame:
