@@ -17,8 +17,8 @@ from stratalog.llm.common import ascii_words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words kept per worker before the memory is emptied; words longer than LONG_WORD aren't kept.
-MEMO_WORDS = 600_000
+#: Words, and parts of words, kept per worker before the memory is emptied; words longer than LONG_WORD aren't kept.
+MEMO_WORDS, MEMO_RUNS = 600_000, 300_000
 LONG_WORD = 64
 
 _RUNS = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -74,20 +74,16 @@ class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.end = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
-        self.makers: dict[str, list[tuple[int, str, str]]] = {}
-        for (a, b), rank in self.ranks.items():
-            self.makers.setdefault(a + b, []).append((rank, a, b))
-        self.longest = max(map(len, self.vocab))
+        self.end = spec["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.marks = {s[:2] for s in self.special}
-        self.wide = max(self.vocab.values()) > 0xFFFF
+        self.wide = max(spec["model"]["vocab"].values()) > 0xFFFF
+        # a run of letters a-z encodes as the word it is, unless such letters can mark a special string
+        self.shares = not any(m.isalpha() for m in self.marks)
         self._ids = _Ids(self)
         self._prefixes = _Prefixes(self)
         self._runs: dict[str, bytes] = {}
@@ -97,6 +93,32 @@ class WordBpe:
         self._splits: dict[str, tuple[str, str, int] | None] = {}
         self._spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
+    # -- tables that only the prefix counts need; workers that make ids never hold them ------------------------
+
+    @cached_property
+    def _model(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
+
+    @cached_property
+    def vocab(self) -> dict[str, int]:
+        return self._model["vocab"]
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.vocab))
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        return {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(self._model["merges"])}
+
+    @cached_property
+    def makers(self) -> dict[str, list[tuple[int, str, str]]]:
+        made: dict[str, list[tuple[int, str, str]]] = {}
+        for (a, b), rank in self.ranks.items():
+            made.setdefault(a + b, []).append((rank, a, b))
+        return made
+
     # -- ids ---------------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> bytes:
@@ -104,7 +126,7 @@ class WordBpe:
         if len(self._ids) > MEMO_WORDS:
             self._ids.clear()
             self._ids[""] = b""
-        if len(self._runs) > MEMO_WORDS:
+        if len(self._runs) > MEMO_RUNS:
             self._runs.clear()
         return b"".join(map(self._ids.__getitem__, ascii_words(text)))
 
@@ -115,9 +137,13 @@ class WordBpe:
         out = []
         for run in runs:
             got = self._runs.get(run)
+            plain = self.shares and run.isascii() and run.isalpha()
+            if got is None and plain:
+                got = self._ids.get(run)
             if got is None:
                 got = np.asarray([t.id for t in self.tokenizer.model.tokenize(run)], dtype="<u4").tobytes()
-                if len(run) <= LONG_WORD:
+                # the word itself is kept once, among the words
+                if len(run) <= LONG_WORD and not (plain and run == word):
                     self._runs[run] = got
             out.append(got)
         return b"".join(out)
