@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import shared_dir, stored
 
 #: Rows a shard and queries a block, on average; neighbours a node above the ground (twice that on it); beams.
-SHARD_ROWS, BLOCK_QUERIES = 3000, 512
-LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 96
+SHARD_ROWS, BLOCK_QUERIES = 32_768, 512
+LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 96, 256
 
 
 class Graph:
