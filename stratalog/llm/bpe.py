@@ -9,52 +9,63 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 
-from stratalog.llm.common import ascii_words
+from stratalog.llm.common import ascii_words, memory_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words, and parts of words, kept per worker before the memory is emptied; words longer than LONG_WORD aren't kept.
-MEMO_WORDS, MEMO_RUNS = 600_000, 300_000
+#: Entries of a memo's younger generation; the older holds as many. Words longer than LONG_WORD aren't kept.
+MEMO_WORDS, MEMO_RUNS = 150_000, 75_000
+#: The same for the words of prefix counts, and how many states of prefixes are kept before their memory is emptied.
+PREFIX_WORDS, PREFIX_STATES = 300_000, 600_000
 LONG_WORD = 64
+#: Texts are worked through in slices of about so many characters, cut at ASCII white space.
+SLICE_CHARS = 1 << 18
 
 _RUNS = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
-_loaded: dict[str, "WordBpe"] = {}
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
 def word_bpe(path: str) -> "WordBpe":
-    """The worker's own tokenizer for ``path``, loaded once per process."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """The worker's own tokenizer for ``path``, loaded once, and kept until the worker turns to another operator."""
+    kept = memory_of("bpe")
+    if path not in kept:
+        kept[path] = WordBpe(path)
+    return kept[path]
 
 
-class _Ids(dict):
-    def __init__(self, owner: "WordBpe"):
-        super().__init__({"": b""})
-        self.owner = owner
+def slices(text: str) -> Iterator[str]:
+    """The text in parts, each without the one white-space character that follows it."""
+    at = 0
+    while len(text) - at > SLICE_CHARS and (cut := _SPACE.search(text, at + SLICE_CHARS)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.owner.word_ids(word)
-        if len(word) <= LONG_WORD:
-            self[word] = ids
-        return ids
 
+class _Recent(dict):
+    """A memo of two generations: entries that nobody asks for while the younger fills up leave with the older."""
 
-class _Prefixes(dict):
-    def __init__(self, owner: "WordBpe"):
-        super().__init__({"": b""})
-        self.owner = owner
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
 
-    def __missing__(self, word: str) -> bytes:
-        runs = self.owner.runs(word) if word.isascii() else None
-        steps = b"".join([self.owner.run_steps(r) for r in runs]) if runs is not None else as_steps(self.owner.prefix_counts(word))
-        if len(word) <= LONG_WORD:
-            self[word] = steps
-        return steps
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONG_WORD:
+            self[key] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
 
 
 def as_steps(counts: list[int]) -> bytes:
@@ -84,9 +95,9 @@ class WordBpe:
         self.wide = max(spec["model"]["vocab"].values()) > 0xFFFF
         # a run of letters a-z encodes as the word it is, unless such letters can mark a special string
         self.shares = not any(m.isalpha() for m in self.marks)
-        self._ids = _Ids(self)
-        self._prefixes = _Prefixes(self)
-        self._runs: dict[str, bytes] = {}
+        self._ids = _Recent(self.word_ids, MEMO_WORDS)
+        self._prefixes = _Recent(self.word_steps, PREFIX_WORDS)
+        self._runs = _Recent(self.run_ids, MEMO_RUNS)
         self._run_steps: dict[str, bytes] = {}
         self._states: dict[str, tuple[str, int, int]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -123,31 +134,29 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers; exactly those of the library."""
-        if len(self._ids) > MEMO_WORDS:
-            self._ids.clear()
-            self._ids[""] = b""
-        if len(self._runs) > MEMO_RUNS:
-            self._runs.clear()
-        return b"".join(map(self._ids.__getitem__, ascii_words(text)))
+        out = []
+        for part in slices(text):
+            self._ids.trim()
+            self._runs.trim()
+            out.append(b"".join(map(self._ids.__getitem__, ascii_words(part))))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def word_ids(self, word: str) -> bytes:
         runs = self.runs(word)
         if runs is None:
             return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.shares and len(runs) == 1 and runs[0] == word and word.isascii() and word.isalpha():
+            # kept once, among the words
+            return self.run_ids(word)
         out = []
         for run in runs:
-            got = self._runs.get(run)
-            plain = self.shares and run.isascii() and run.isalpha()
-            if got is None and plain:
-                got = self._ids.get(run)
-            if got is None:
-                got = np.asarray([t.id for t in self.tokenizer.model.tokenize(run)], dtype="<u4").tobytes()
-                # the word itself is kept once, among the words
-                if len(run) <= LONG_WORD and not (plain and run == word):
-                    self._runs[run] = got
-            out.append(got)
+            got = self._ids.get(run) if self.shares and run.isascii() and run.isalpha() else None
+            out.append(self._runs[run] if got is None else got)
         return b"".join(out)
 
+    def run_ids(self, run: str) -> bytes:
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(run)], dtype="<u4").tobytes()
+
     def runs(self, word: str) -> list[str] | None:
         """The pre-tokens of a word in the byte alphabet; None where only the library may judge (special strings, clitics)."""
         if "'" in word or any(m in word for m in self.marks):
@@ -177,20 +186,24 @@ class WordBpe:
 
         The running sum up to any position is the exact token count of that prefix of the text.
         """
-        if len(self._prefixes) > MEMO_WORDS:
-            self._prefixes.clear()
-            self._prefixes[""] = b""
-        if len(self._states) > MEMO_WORDS:
-            self._states.clear()
-        if len(self._run_steps) > MEMO_WORDS:
-            self._run_steps.clear()
-        words = ascii_words(text)
+        out = []
         try:
-            # a space adds no token: the zero byte between two words
-            return b"\0".join(map(self._prefixes.__getitem__, words)), 1
+            for part in slices(text):
+                self._prefixes.trim()
+                if len(self._states) > PREFIX_STATES:
+                    self._states.clear()
+                if len(self._run_steps) > PREFIX_STATES:
+                    self._run_steps.clear()
+                # a space adds no token: the zero byte between two words
+                out.append(b"\0".join(map(self._prefixes.__getitem__, ascii_words(part))))
+            return out[0] if len(out) == 1 else b"\0".join(out), 1
         except WideStep:
-            parts = [np.diff(np.asarray(self.prefix_counts(w), dtype="<i4"), prepend=np.int32(0)).astype("<i4").tobytes() if w else b"" for w in words]
-            return (b"\0" * 4).join(parts), 4
+            wide = (np.diff(np.asarray(self.prefix_counts(w), dtype="<i4"), prepend=np.int32(0)).astype("<i4").tobytes() if w else b"" for part in slices(text) for w in ascii_words(part))
+            return (b"\0" * 4).join(wide), 4
+
+    def word_steps(self, word: str) -> bytes:
+        runs = self.runs(word) if word.isascii() else None
+        return b"".join([self.run_steps(r) for r in runs]) if runs is not None else as_steps(self.prefix_counts(word))
 
     def prefix_counts(self, word: str) -> list[int]:
         """Exact token count of every non-empty prefix of a word, by code points."""

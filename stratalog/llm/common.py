@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,26 @@ def bounded_batches(spark: SparkSession) -> None:
             raise
 
 
+_kept: dict[str, dict] = {}
+
+
+def memory_of(operator: str) -> dict:
+    """What this Python worker keeps for ``operator`` between tasks.
+
+    Workers outlive stages, so what they kept for any other operator goes first, and the freed memory back to the system.
+    """
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        del _kept[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return _kept.setdefault(operator, {})
+
+
 def remainder_of_id(name: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the fold of a row."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(modulus)

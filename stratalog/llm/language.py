@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bounded_batches, remainder_of_id
+from stratalog.llm.common import bounded_batches, memory_of, remainder_of_id
 
 UNDETERMINED = "und"
 #: A language's dictionary, and at most how many training rows of at most how many characters fill it.
@@ -95,6 +95,7 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "tex
     n_keep = len(keep)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("language")
         judge = CompressionClassifier(dictionaries).judge
         for batch in batches:
             got = [judge(t) for t in batch.column(n_keep).to_pylist()]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BATCH_BYTES, bounded_batches, shared_dir, stored
+from stratalog.llm.common import BATCH_BYTES, bounded_batches, memory_of, shared_dir, stored
 
 #: Signature length and how many coordinates two signatures must share. At a similarity of 0.8 exactly, fewer than 24 of
 #: 48 agree with a probability of about 1e-6.
@@ -67,6 +67,7 @@ def _signed(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("neardup")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n, c1, c2, extra, size, at = [], [], [], [], 0, 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import bounded_batches, remainder_of_id
+from stratalog.llm.common import bounded_batches, memory_of, remainder_of_id
 
 #: The fit sees at most about so many trusted positives and so many unlabelled rows, those with the smallest hashes.
 FIT_ROWS = 20_000
@@ -91,6 +91,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", keep: list[Column]
     n_keep = len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("quality")
         for batch in batches:
             x = np.array([features(t) for t in batch.column(n_keep).to_pylist()]).reshape(-1, N_FEATURES)
             z = np.clip((x - model["mean"]) / model["spread"], -8, 8) @ model["weight"] + model["bias"]
@@ -139,6 +140,7 @@ def _sample_ids(ids: DataFrame) -> DataFrame:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory_of("quality")
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["x"])
 
