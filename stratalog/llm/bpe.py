@@ -19,7 +19,7 @@ from stratalog.llm.common import ascii_words, memory_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a memo's younger generation; the older holds as many. Words longer than LONG_WORD aren't kept.
-MEMO_WORDS, MEMO_RUNS = 150_000, 75_000
+MEMO_WORDS, MEMO_RUNS = 300_000, 150_000
 #: The same for the words of prefix counts, and how many states of prefixes are kept before their memory is emptied.
 PREFIX_WORDS, PREFIX_STATES = 300_000, 600_000
 LONG_WORD = 64
