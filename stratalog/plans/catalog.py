@@ -93,6 +93,17 @@ query("same_generation", "par(X, Y) :- place(X, N), nation(N, Y, R). par(X, Y) :
       "WITH RECURSIVE par AS (SELECT s_name AS x, n_name AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), sg AS (SELECT a.x, b.x AS y FROM par a JOIN par b ON a.y = b.y UNION SELECT a.x, b.x FROM par a JOIN sg s ON a.y = s.x JOIN par b ON b.y = s.y) SELECT x, y FROM sg", place="supplier: s_name s_nationkey", nation=NATION, region=REGION)
 query("negation_over_recursion", CHAIN + "path(X, Y) :- link(X, Y). path(X, Z) :- link(X, Y), path(Y, Z). far(X) :- node(X), not path(1, X).", "far(X)", "x", f"{CHAIN_SQL} SELECT s_suppkey AS x FROM supplier WHERE s_suppkey NOT IN (SELECT y FROM path WHERE x = 1)", node=NODE)
 query("agg_over_recursion", CHAIN + LENGTH + "path(X, Y) :- link(X, Y). path(X, Z) :- link(X, Y), path(Y, Z). reach(X, N) :- node(X), setof(Y, path(X, Y), L), length(L, N).", "reach(X, N)", "x n", f"{CHAIN_SQL} SELECT s_suppkey AS x, count(DISTINCT y) AS n FROM supplier LEFT JOIN path ON x = s_suppkey GROUP BY 1", node=NODE)
+# The same over a graph of all suppliers: ascending runs of nation keys among neighbours by supplier key.
+RUNS = "link(X, Y) :- supplier(X, N, B), supplier(Y, M, C), Y = X + 1, N < M. "
+RUNS_SQL = "WITH RECURSIVE link AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_nationkey < b.s_nationkey), path AS (SELECT x, y FROM link UNION SELECT l.x, p.y FROM link l JOIN path p ON l.y = p.x)"
+_RIGHT = "path(X, Y) :- link(X, Y). path(X, Z) :- link(X, Y), path(Y, Z). "
+query("tc_linear_right_all", RUNS + _RIGHT, "path(X, Y)", "x y", f"{RUNS_SQL} SELECT x, y FROM path", supplier=SUPPLIER)
+query("tc_linear_left_all", RUNS + "path(X, Y) :- link(X, Y). path(X, Z) :- path(X, Y), link(Y, Z).", "path(X, Y)", "x y", f"{RUNS_SQL} SELECT x, y FROM path", supplier=SUPPLIER)
+query("tc_nonlinear_all", RUNS + "path(X, Y) :- link(X, Y). path(X, Z) :- path(X, Y), path(Y, Z).", "path(X, Y)", "x y", f"{RUNS_SQL} SELECT x, y FROM path", supplier=SUPPLIER)
+query("mutual_even_odd_all", RUNS + "odd(X, Y) :- link(X, Y). odd(X, Z) :- link(X, Y), even(Y, Z). even(X, Z) :- link(X, Y), odd(Y, Z).", "even(X, Y)", "x y",
+      f"{RUNS_SQL} SELECT x, y FROM path WHERE (y - x) % 2 = 0", supplier=SUPPLIER)
+query("negation_over_recursion_all", RUNS + _RIGHT + "inner(Y) :- path(X, Y). first(X) :- supplier(X, N, B), not inner(X).", "first(X)", "x", f"{RUNS_SQL} SELECT s_suppkey AS x FROM supplier WHERE s_suppkey NOT IN (SELECT y FROM path)", supplier=SUPPLIER)
+query("agg_over_recursion_all", RUNS + LENGTH + _RIGHT + "reach(X, N) :- supplier(X, K, B), setof(Y, path(X, Y), L), length(L, N).", "reach(X, N)", "x n", f"{RUNS_SQL} SELECT s_suppkey AS x, count(DISTINCT y) AS n FROM supplier LEFT JOIN path ON x = s_suppkey GROUP BY 1", supplier=SUPPLIER)
 query("order_by_desc", "", "supplier(S, N, B), B > 5000", "s n b", "SELECT s_suppkey AS s, s_nationkey::bigint AS n, s_acctbal AS b FROM supplier WHERE s_acctbal > 5000", order=(("B", True), ("S", False)), supplier=SUPPLIER)
 _OUT = "r(N, M) :- nation(N, M, R), region(R, 'ASIA'). "
 query("apply_insert", _OUT, "r(N, M)", "n m", "SELECT n_nationkey::bigint AS n, n_name AS m FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' UNION SELECT 900, 'new' UNION SELECT 901, 'newer'",
