@@ -38,6 +38,11 @@ def word_bpe(path: str) -> "WordBpe":
     return kept[path]
 
 
+def plain(word: str) -> bool:
+    """Printable ASCII only, whose characters are those of the byte alphabet; control characters have others there."""
+    return word.isascii() and word.isprintable()
+
+
 def slices(text: str) -> Iterator[str]:
     """The text in parts, each without the one white-space character that follows it."""
     at = 0
@@ -161,7 +166,7 @@ class WordBpe:
         """The pre-tokens of a word in the byte alphabet; None where only the library may judge (special strings, clitics)."""
         if "'" in word or any(m in word for m in self.marks):
             return None
-        if word.isascii():
+        if plain(word):
             return _RUNS.findall(word.lower())
         normal = self.tokenizer.normalizer.normalize_str(word)
         return [run for run, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
@@ -202,13 +207,13 @@ class WordBpe:
             return (b"\0" * 4).join(wide), 4
 
     def word_steps(self, word: str) -> bytes:
-        runs = self.runs(word) if word.isascii() else None
+        runs = self.runs(word) if plain(word) else None
         return b"".join([self.run_steps(r) for r in runs]) if runs is not None else as_steps(self.prefix_counts(word))
 
     def prefix_counts(self, word: str) -> list[int]:
         """Exact token count of every non-empty prefix of a word, by code points."""
         runs = self.runs(word)
-        if runs is not None and not word.isascii():
+        if runs is not None and not plain(word):
             # only where each code point becomes one do prefixes of the word stay prefixes of its pre-tokens
             normal = self.tokenizer.normalizer.normalize_str(word)
             if len(normal) != len(word) or normal != "".join(map(str.lower, word)) or len("".join(runs)) != len(normal.encode()):
@@ -219,7 +224,7 @@ class WordBpe:
         for run in runs:
             before = by_byte[-1] if by_byte else 0
             by_byte += [before + c for c in self.run_prefix_counts(run)]
-        if word.isascii():
+        if plain(word):
             return by_byte
         ends = np.cumsum([len(c.encode()) for c in normal])
         return [by_byte[e - 1] for e in ends]
