@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import bounded_batches, memory_of, remainder_of_id
 
 UNDETERMINED = "und"
-#: A language's dictionary, and at most how many training rows of at most how many characters fill it.
+#: A language's dictionary, at most how many training rows of at most how many characters fill it.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 400, 8_000
 #: Texts are encoded in pieces of so many bytes, so that the dictionary, not the text itself, decides.
 PIECE_BYTES = 1024
-#: A text is rejected if the second-best encoding is larger by less than this share and the text has at least so many
-#: letters' bytes; shorter texts can't show a margin and aren't rejected for it.
-MARGIN, MARGIN_BYTES = 0.002, 400
+#: A text is rejected if its margin, by which share the second-best encoding is larger, is below all but this share of
+#: the margins of rightly judged training texts cut to its length: the longest of these lengths it reaches, in bytes.
+MARGIN_SHARE, MARGIN_LENGTHS = 0.01, (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+#: How many training rows of all languages together show these margins, and how many at least for a length.
+MARGIN_ROWS, LEAST_MARGINS = 800, 20
 
 # A-Z to a-z; other ASCII but letters to spaces; bytes of other characters stay.
 _FOLD = bytes(c if 97 <= c <= 122 or c > 127 else (c + 32 if 65 <= c <= 90 else 32) for c in range(256))
@@ -31,7 +33,13 @@ def folded(text: str) -> bytes:
     return b" ".join([w for w, before in zip(words, [b"", *words]) if w != before])
 
 
-def learned_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
+class Dictionaries(dict):
+    """Dictionaries by language, with ``least``: pairs of a length and the least margin of a kept text of that length."""
+
+    least: tuple[tuple[int, float], ...] = ()
+
+
+def learned_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Dictionaries:
     """A dictionary for each language from rows with text and language: whole sampled texts, cut to DICTIONARY_BYTES.
 
     The sample is bounded: per language about SAMPLE_ROWS rows of at most SAMPLE_CHARS characters, those with the
@@ -42,20 +50,44 @@ def learned_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang"
     short = rows.where(F.char_length("t") <= SAMPLE_CHARS).withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)))
     counts = {r["l"]: r["count"] for r in short.groupBy("l").count().collect()}
     if not counts:
-        return {}
+        return Dictionaries()
     under = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, math.ceil((1 << 20) * min(1.0, SAMPLE_ROWS / n)))])
     taken: dict[str, list[tuple[int, int, str]]] = {}
     for r in short.where(F.col("h") < F.element_at(under, F.col("l"))).collect():
         taken.setdefault(r["l"], []).append((r["h"], r["i"] or 0, r["t"]))
-    out = {}
-    for language, found in taken.items():
-        out[language] = b" ".join(folded(t) for _, _, t in sorted(found))[:DICTIONARY_BYTES]
-    return {k: v for k, v in sorted(out.items()) if v}
+    texts = {language: [folded(t) for _, _, t in sorted(found)] for language, found in sorted(taken.items())}
+    out = Dictionaries({language: d for language, found in texts.items() if (d := dictionary(found))})
+    out.least = least_margins(texts)
+    return out
+
+
+def dictionary(texts: list[bytes]) -> bytes:
+    return b" ".join(texts)[:DICTIONARY_BYTES]
+
+
+def least_margins(texts: dict[str, list[bytes]]) -> tuple[tuple[int, float], ...]:
+    """By length, the margin that all but MARGIN_SHARE of the training texts cut to it reach.
+
+    Each text is judged by dictionaries of the other half of the rows, which don't hold it.
+    """
+    seen: dict[int, list[float]] = {n: [] for n in MARGIN_LENGTHS}
+    each = max(1, MARGIN_ROWS // (2 * max(1, len(texts))))
+    for half in (0, 1):
+        measure = CompressionClassifier({k: dictionary(t[1 - half :: 2]) for k, t in texts.items()}).measure
+        for language, found in texts.items():
+            for text in found[half::2][:each]:
+                for n in MARGIN_LENGTHS:
+                    if len(text) >= n:
+                        best, _, margin = measure(text[:n])
+                        if best == language:
+                            seen[n].append(margin)
+    return tuple((n, sorted(m)[int(len(m) * MARGIN_SHARE)]) for n, m in seen.items() if len(m) >= LEAST_MARGINS)
 
 
 class CompressionClassifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = list(dictionaries)
+        self.least = getattr(dictionaries, "least", ())
         params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.encoders = []
         for content in dictionaries.values():
@@ -68,13 +100,19 @@ class CompressionClassifier:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         body = folded(text)
+        language, score, margin = self.measure(body)
+        least = next((m for n, m in reversed(self.least) if n <= len(body)), 0.0)
+        return language, score, margin, margin < least
+
+    def measure(self, body: bytes) -> tuple[str, float, float]:
+        """Language, score and margin of a folded text."""
         pieces = [body[i : i + PIECE_BYTES] for i in range(0, len(body), PIECE_BYTES)] or [b""]
         sizes = [sum(len(encode(p)) for p in pieces) for encode in self.encoders]
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], self.languages[k]))
         best = sizes[order[0]]
         share = sum(math.exp(max(-700.0, (best - s) / len(pieces))) for s in sizes)
         margin = (sizes[order[1]] - best) / best if len(order) > 1 else 1.0
-        return self.languages[order[0]], 1.0 / share, margin, len(body) >= MARGIN_BYTES and margin < MARGIN
+        return self.languages[order[0]], 1.0 / share, margin
 
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: list[Column] | None = None, only_kept: bool = False) -> DataFrame:
