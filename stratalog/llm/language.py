@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import bounded_batches, memory_of, remainder_of_id
 
 UNDETERMINED = "und"
-#: A language's dictionary, at most how many training rows of at most how many characters fill it.
+#: A language's dictionary, at most how many training rows fill it, and how many characters of each, from its first letter.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 400, 8_000
 #: Texts are encoded in pieces of so many bytes, so that the dictionary, not the text itself, decides.
 PIECE_BYTES = 1024
@@ -40,20 +40,21 @@ class Dictionaries(dict):
 
 
 def learned_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Dictionaries:
-    """A dictionary for each language from rows with text and language: whole sampled texts, cut to DICTIONARY_BYTES.
+    """A dictionary for each language from rows with text and language: sampled texts, cut to DICTIONARY_BYTES in all.
 
-    The sample is bounded: per language about SAMPLE_ROWS rows of at most SAMPLE_CHARS characters, those with the
-    smallest hashes of id and text. Counting is one aggregation by language; the sample one more scan, filtered where
-    it is read, so no group is gathered in a task.
+    The sample is bounded: per language about SAMPLE_ROWS rows of any length, those with the smallest hashes of id and
+    text, and of each row SAMPLE_CHARS characters from its first letter. Counting is one aggregation by language; the
+    sample one more scan, filtered where it is read, so no group is gathered in a task.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    short = rows.where(F.char_length("t") <= SAMPLE_CHARS).withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)))
-    counts = {r["l"]: r["count"] for r in short.groupBy("l").count().collect()}
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return Dictionaries()
     under = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, math.ceil((1 << 20) * min(1.0, SAMPLE_ROWS / n)))])
     taken: dict[str, list[tuple[int, int, str]]] = {}
-    for r in short.where(F.col("h") < F.element_at(under, F.col("l"))).collect():
+    begun = F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, SAMPLE_CHARS).alias("t")
+    for r in rows.where(F.col("h") < F.element_at(under, F.col("l"))).select("h", "i", begun, "l").collect():
         taken.setdefault(r["l"], []).append((r["h"], r["i"] or 0, r["t"]))
     texts = {language: [folded(t) for _, _, t in sorted(found)] for language, found in sorted(taken.items())}
     out = Dictionaries({language: d for language, found in texts.items() if (d := dictionary(found))})
@@ -155,7 +156,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can't be told go."""
+    """Pipeline stage: documents whose language can't be told go; where no language is learned, all stay."""
     held_out = remainder_of_id("doc_id", 3) == 1
     model = learned_dictionaries(docs.where(~F.coalesce(held_out, F.lit(False))))
+    if not model:
+        return docs
     return identified(docs, model, only_kept=True)
