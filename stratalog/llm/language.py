@@ -148,17 +148,17 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "tex
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text of ``documents``, learned from two of three folds of it."""
+    """Language of every whole text of ``documents``, learned from two of three folds of it. Rows without an id aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held_out = remainder_of_id("doc_id", 3) == 1
-    model = learned_dictionaries(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(remainder_of_id("doc_id", 3) == 1, F.lit(False))
+    model = learned_dictionaries(docs.where(~held_out))
     return identified(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go; where no language is learned, all stay."""
-    held_out = remainder_of_id("doc_id", 3) == 1
-    model = learned_dictionaries(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(remainder_of_id("doc_id", 3) == 1, F.lit(False))
+    model = learned_dictionaries(docs.where(~held_out))
     if not model:
         return docs
     return identified(docs, model, only_kept=True)

@@ -45,11 +45,13 @@ def features(text: str | None) -> list[float]:
     return shape + [float(np.tanh(x / r)) for x in (symbols, max(0.0, upper - 0.05), echoes, repeated) for r in _RATES]
 
 
-def nonnegative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3) -> dict:
+def nonnegative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3, biased: bool = False) -> dict:
     """Minimise ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` under logistic loss by full-batch Adam steps.
 
     Where the bracket falls below zero the step climbs on it instead, which keeps the estimate from overfitting.
+    ``biased`` takes the unlabelled as negative, ``prior * R_p(+) + R_u(-)``: a scorer that tells one sample from the other.
     """
+    correction = 0.0 if biased else prior
     every = np.vstack([positive, unlabelled])
     mean, spread = every.mean(axis=0), every.std(axis=0) + 1e-6
     p, u = ((np.clip((x - mean) / spread, -8, 8)) for x in (positive, unlabelled))
@@ -62,8 +64,8 @@ def nonnegative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     for step in range(1, rounds + 1):
         zp, zu = p @ weight + bias, u @ weight + bias
         down_p, down_u = sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_n = np.append(u.T @ down_u - prior * (p.T @ down_p), down_u.sum() - prior * down_p.sum())
+        negative = np.logaddexp(0, zu).mean() - correction * np.logaddexp(0, zp).mean()
+        grad_n = np.append(u.T @ down_u - correction * (p.T @ down_p), down_u.sum() - correction * down_p.sum())
         if negative >= 0:
             up = (sigmoid(zp) - 1) / len(p)
             grad = prior * np.append(p.T @ up, up.sum()) + grad_n
@@ -76,6 +78,33 @@ def nonnegative_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return {"weight": weight, "bias": bias, "mean": mean, "spread": spread, "prior": prior}
 
 
+def model_scores(x: np.ndarray, model: dict) -> np.ndarray:
+    z = np.clip((x - model["mean"]) / model["spread"], -8, 8) @ model["weight"] + model["bias"]
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from the two samples alone.
+
+    A scorer learns on one half to tell the samples apart. On the other half, above any score, the unlabelled's
+    share over the positives' bounds the prior from above (few negatives score so high); the score taken is the one whose
+    bound with its margin of error is smallest. Both halves take turns, and the mean counts.
+    """
+    found = []
+    for half in (0, 1):
+        taught, kept = ((positive[k::2], unlabelled[k::2]) for k in (half, 1 - half))
+        if not min(map(len, (*taught, *kept))):
+            continue
+        model = nonnegative_fit(*taught, prior=1.0, rounds=300, biased=True)
+        p, u = (np.sort(model_scores(x, model)) for x in kept)
+        cuts = np.unique(p)
+        above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+        margin = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+        best = int(np.argmin((above_u + margin) / above_p))
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
+
+
 def scored(docs: DataFrame, model: dict, text: str = "text", keep: list[Column] | None = None, at_least: float | None = None) -> DataFrame:
     """Add ``score`` (0 to 1) of the whole text to the columns ``keep`` (default: all).
 
@@ -94,8 +123,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", keep: list[Column]
         memory_of("quality")
         for batch in batches:
             x = np.array([features(t) for t in batch.column(n_keep).to_pylist()]).reshape(-1, N_FEATURES)
-            z = np.clip((x - model["mean"]) / model["spread"], -8, 8) @ model["weight"] + model["bias"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n_keep], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=[*(f"k{i}" for i in range(n_keep)), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_keep], pa.array(model_scores(x, model), pa.float64())], names=[*(f"k{i}" for i in range(n_keep)), "score"])
 
     out = rows.mapInArrow(score, schema)
     if at_least is not None:
@@ -110,16 +138,12 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 
 
 def learned_quality(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on trusted positives (label 1) and unlabelled documents; the class prior is the positives' share of the labels.
+    """Fit on trusted positives (label 1) and unlabelled documents, with the class prior that ``estimated_prior`` finds.
 
-    At most about FIT_ROWS of each are used. Where every label is 1 the prior is taken as 0.9; without positives
-    there is nothing to learn and the result is None.
+    At most about FIT_ROWS of each are used; labels other than 1 aren't. Without positives there is nothing to
+    learn and the result is None.
     """
     labels = labels.select(F.col("doc_id").alias("lid"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("lid").isNotNull())
-    share = labels.agg(F.avg("quality").alias("p"), F.count("*").alias("n")).first()
-    if not share["n"] or not share["p"]:
-        return None
-    prior = float(share["p"]) if share["p"] < 1 else 0.9
     trusted = labels.where("quality = 1").select("lid").distinct()
     docs = docs.select("doc_id", "text")
 
@@ -131,7 +155,7 @@ def learned_quality(docs: DataFrame, labels: DataFrame) -> dict | None:
     unlabelled = gathered(_sample(docs, FIT_ROWS))
     if not len(positives) or not len(unlabelled):
         return None
-    return nonnegative_fit(positives, unlabelled, prior)
+    return nonnegative_fit(positives, unlabelled, estimated_prior(positives, unlabelled))
 
 
 def _sample_ids(ids: DataFrame) -> DataFrame:
@@ -146,20 +170,24 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every whole text of ``documents``; labels of four of five folds teach."""
+    """Quality score of every whole text of ``documents``; labels of four of five folds teach.
+
+    Where no label is 1, nothing tells good from bad: the score is 0 if there are labels, all of them 0, else 0.5. Rows
+    without an id are not held out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder_of_id("doc_id", 5) != 0)
-    held_out = (remainder_of_id("doc_id", 5) == 0).alias("held_out")
+    held_out = F.coalesce(remainder_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     model = learned_quality(docs, labels)
     if model is None:
-        out = docs.select("doc_id", held_out, F.lit(1.0).alias("score"))
+        out = docs.select("doc_id", held_out, F.lit(0.5 if labels.where("quality IS NOT NULL").isEmpty() else 0.0).alias("score"))
     else:
         out = scored(docs, model, keep=[F.col("doc_id"), held_out])
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored under THRESHOLD go."""
+    """Pipeline stage: documents scored under THRESHOLD go; where no positives teach, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder_of_id("doc_id", 5) != 0)
     model = learned_quality(docs, labels)
     return docs if model is None else scored(docs, model, at_least=THRESHOLD)

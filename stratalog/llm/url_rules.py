@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The index goes into the plan as one constant up to this many bytes; a larger one is joined by token.
 INDEX_BYTES = 1 << 20
+#: Parts that a token's URLs are dealt out over in the joined index.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -26,9 +28,13 @@ class Rule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """Over ``host + "\\n" + path``."""
-        return rf"\A(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def host_pattern(self) -> str:
+        """Over a host of any characters, line feeds too: the rule's own or one below it."""
+        return rf"(?s)\A(?:.*\.)?{re.escape(self.host)}\z"
+
+    @property
+    def path_pattern(self) -> str:
+        return rf"(?s)\A{re.escape(self.path)}"
 
     @property
     def literals(self) -> list[str]:
@@ -52,19 +58,25 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
-def token_counts(urls: DataFrame, wanted: list[str]) -> dict[str, int]:
-    """How many rows of (host, path) hold each of the rules' literal tokens; at most a number a token comes back."""
-    rows = urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).where(F.col("token").isin(wanted))
-    return {r["token"]: r["count"] for r in rows.groupBy("token").count().collect()}
+def _candidates(host: Column, path: Column) -> Column:
+    """The tokens under which a URL's rules can stand; the empty one holds rules without a literal."""
+    return F.concat(F.array(F.lit("")), _tokens(host, path))
 
 
-def rule_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
-    """Each rule under its rarest literal token (ties: the first by name); rules without one under the empty token."""
-    index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        anchor = min(rule.literals, key=lambda t: (counts.get(t, 0), t), default="")
-        index.setdefault(anchor, []).append(rule)
-    return index
+def rule_index(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows (token, host_pattern, path_pattern, name, verdict): each rule under its rarest literal token in ``urls``.
+
+    Counts of the rules' own tokens over all rows of (host, path), made with map-side aggregation and joined to the rules; ties go
+    to the first token by name. Nothing is collected.
+    """
+    said = [{"id": i, "host_pattern": r.host_pattern, "path_pattern": r.path_pattern, "name": r.name, "verdict": r.verdict, "literals": r.literals or [""]} for i, r in enumerate(rules)]
+    kind = "array<struct<id: bigint, host_pattern: string, path_pattern: string, name: string, verdict: string, literals: array<string>>>"
+    table = urls.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(said)), kind)).alias("r")).select("r.*")
+    wanted = table.select("id", F.explode("literals").alias("token"))
+    seen = urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    counts = seen.groupBy("token").count()
+    rarest = wanted.join(counts, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token"))["token"].alias("token"))
+    return table.drop("literals").join(rarest, "id").drop("id")
 
 
 def judged(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
@@ -72,31 +84,33 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
 
     The longest fitting rule (by characters of host and path; ties by name) decides; without one ``rule`` is null
     and ``verdict`` is ``default``. A null URL, or one without ``://``, has empty parts and fits no rule. Rows keep
-    their multiplicity. Columns named host, path, rule or verdict are replaced.
+    their multiplicity. Columns named host, path, rule or verdict are replaced. No rows or no rules give no verdict but the default.
 
-    Small indexes make one projection without shuffle: a constant map from token to rules. Beyond INDEX_BYTES the
-    distinct URLs are joined with the rules by token, and the verdicts with the rows by URL.
+    Rules of up to INDEX_BYTES make one projection without shuffle: a constant map from token to rules. Beyond it the
+    distinct URLs are joined with the rules by token, dealt out over SALTS parts of a token, as most URLs share a
+    few, and the verdicts with the rows by URL.
     """
     host, path = url_parts(F.col(f"`{url}`"))
     rows = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    wanted = sorted({t for r in rules for t in r.literals})
-    index = rule_index(rules, token_counts(rows.select("host", "path"), wanted) if len(wanted) > 1 else {})
-    said = json.dumps({t: [{"pattern": r.pattern, "name": r.name, "verdict": r.verdict} for r in rs] for t, rs in index.items()})
-    subject = F.concat("host", F.lit("\n"), "path")
-    if len(said) <= INDEX_BYTES:
-        kept = F.from_json(F.lit(said), "map<string, array<struct<pattern: string, name: string, verdict: string>>>")
-        tokens = F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path")))
-        fetched = F.flatten(F.filter(F.transform(tokens, lambda t: F.element_at(kept, t)), lambda x: x.isNotNull()))
-        fitting = F.filter(fetched, lambda r: F.rlike(subject, r["pattern"]))
+    named = "host_pattern string, path_pattern string, name string, verdict string"
+    size = sum(len(r.host_pattern) + len(r.path_pattern) + len(r.name) + 80 for r in rules)
+    if size <= INDEX_BYTES:
+        # the rules are few, so their index is too
+        index: dict[str, list[dict]] = {}
+        for r in rule_index(rows.select("host", "path"), rules).collect() if rules else []:
+            index.setdefault(r["token"], []).append({k: r[k] for k in ("host_pattern", "path_pattern", "name", "verdict")})
+        kept = F.from_json(F.lit(json.dumps(index)), f"map<string, array<struct<{named.replace(' string', ': string')}>>>")
+        fetched = F.flatten(F.filter(F.transform(_candidates(F.col("host"), F.col("path")), lambda t: F.element_at(kept, t)), lambda x: x.isNotNull()))
+        fitting = F.filter(fetched, lambda r: F.rlike(F.col("host"), r["host_pattern"]) & F.rlike(F.col("path"), r["path_pattern"]))
         ranked = F.array_sort(F.transform(fitting, lambda r: F.struct((-F.length(r["name"])).alias("n"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
-        best = F.get(ranked, F.lit(0))
-        return rows.withColumn("_best", best).withColumn("rule", F.col("_best.name")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default))).drop("_best")
-    spark = pages.sparkSession
-    table = spark.createDataFrame([(t, r.pattern, r.name, r.verdict) for t, rs in index.items() for r in rs], "token string, pattern string, name string, verdict string")
-    parts = rows.select("host", "path").distinct()
-    fetched = parts.withColumn("token", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path"))))).join(table, "token")
-    best = fetched.where(F.rlike(subject, F.col("pattern"))).groupBy("host", "path").agg(F.min(F.struct((-F.length("name")).alias("n"), "name", "verdict")).alias("_best"))
-    out = rows.join(best, ["host", "path"], "left")
+        out = rows.withColumn("_best", F.get(ranked, F.lit(0)))
+    else:
+        index = rule_index(rows.select("host", "path"), rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = rows.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+        fetched = parts.withColumn("token", F.explode(_candidates(F.col("host"), F.col("path")))).join(index, ["token", "salt"])
+        fitting = fetched.where(F.rlike(F.col("host"), F.col("host_pattern")) & F.rlike(F.col("path"), F.col("path_pattern")))
+        best = fitting.groupBy("host", "path").agg(F.min(F.struct((-F.length("name")).alias("n"), "name", "verdict")).alias("_best"))
+        out = rows.join(best, ["host", "path"], "left")
     return out.withColumn("rule", F.col("_best.name")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default))).drop("_best")
 
 
