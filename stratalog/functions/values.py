@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from dataclasses import dataclass
-from fractions import Fraction
 
 
 class DatalogError(Exception):
@@ -38,6 +38,13 @@ NumericOverflow = _error("NumericOverflow", "A number outside its range.")
 UnknownVariable = _error("UnknownVariable", "No such variable among the answers.")
 UndefinedView = _error("UndefinedView", "No single rule defines the view.")
 MaintenanceMismatch = _error("MaintenanceMismatch", "Maintained and rebuilt closures differ.")
+UnboundVariable = _error("UnboundVariable", "A variable without a value where one is needed.")
+UnknownOperator = _error("UnknownOperator", "No such operator.")
+TypeMismatch = _error("TypeMismatch", "A value of another type was asked for.")
+AmbiguousViewName = _error("AmbiguousViewName", "A view's name that means two things.")
+StaleViewDefinition = _error("StaleViewDefinition", "The rules changed after the view was published.")
+StalePlan = _error("StalePlan", "The catalog or the rules changed after the plan was made.")
+PlanNotExecutable = _error("PlanNotExecutable", "The fold refused the question, so it has no plan.")
 Unsupported = _error("Unsupported", "Outside what this engine evaluates.")
 
 
@@ -123,24 +130,33 @@ def text_of(v: object) -> str:
 
 
 # Sortable keys: one tag byte, then a prefix-free body; byte order is the canonical order
-# numbers (by exact value) < atoms (by bytes) < [] < pairs (head, then tail).
+# numbers (by exact value) < atoms (by bytes) < [] < pairs (head, then tail). A number is its nearest double and what the
+# exact integer has beyond it, each as eight bytes that sort as the number does.
 NUMBER, ATOM, NIL, CONS = 0x10, 0x20, 0x30, 0x40
 
 
+def split_number(x: int | float) -> tuple[float, int]:
+    """The nearest double, and the rest of an integer that no double holds."""
+    near = float(x)
+    return (near, x - int(near)) if isinstance(x, int) else (near + 0.0, 0)
+
+
+def joined_number(near: float, rest: int) -> int | float:
+    if near == math.floor(near) and -(2**63) <= int(near) + rest < 2**63:
+        return int(near) + rest
+    return near
+
+
 def _number_key(x: int | float) -> bytes:
-    if x == 0:
-        return b"\x80" + bytes(10)
-    numerator, denominator = abs(x).as_integer_ratio()
-    exponent = numerator.bit_length() - denominator.bit_length() + 1
-    shift = 64 - numerator.bit_length()
-    mantissa = numerator << shift if shift >= 0 else numerator >> -shift
-    body = (exponent + 4096).to_bytes(2, "big") + mantissa.to_bytes(8, "big")
-    return b"\x81" + body if x > 0 else b"\x7f" + bytes(255 - b for b in body)
+    near, rest = split_number(x)
+    bits = int.from_bytes(struct.pack(">d", near if near else 0.0), "big")
+    bits = bits ^ ((1 << 64) - 1) if bits >> 63 else bits | 1 << 63
+    return struct.pack(">QQ", bits, rest + (1 << 63))
 
 
 def key_of(v: object) -> bytes:
     if isinstance(v, Atom):
-        return bytes([ATOM]) + v.encode().replace(b"\0", b"\0\xff") + b"\0\0"
+        return bytes([ATOM]) + v.encode().replace(b"\0", b"\0\1") + b"\0\0"
     if isinstance(v, tuple):
         return b"".join(bytes([CONS]) + key_of(x) for x in v) + bytes([NIL])
     if isinstance(v, Pair):
@@ -172,23 +188,20 @@ def _read(key: bytes, at: int) -> tuple[object, int]:
         for h in reversed(heads):
             tail = cons(h, tail)
         return tail, at
-    sign, body = key[at + 1], key[at + 2 : at + 12]
-    if sign == 0x80:
-        return 0, at + 12
-    if sign == 0x7F:
-        body = bytes(255 - b for b in body)
-    exponent, mantissa = int.from_bytes(body[:2], "big") - 4096, int.from_bytes(body[2:], "big")
-    # the exponent counts the bits of numerator and denominator, a power of two, so the value is mantissa * 2^(exponent - 64)
-    exact = Fraction(mantissa) * Fraction(2) ** (exponent - 64) * (1 if sign == 0x81 else -1)
-    whole = exact.denominator == 1 and -(2**63) <= exact < 2**63
-    return (int(exact) if whole else float(exact)), at + 12
+    bits, rest = struct.unpack_from(">QQ", key, at + 1)
+    bits = bits ^ 1 << 63 if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return joined_number(struct.unpack(">d", bits.to_bytes(8, "big"))[0], rest - (1 << 63)), at + 17
 
 
 def value_of(key: bytes) -> object:
     return _read(key, 0)[0]
 
 
-# Types: atom, int, number, any, never, and ("list", T).
+# Types: atom, int, number, any, never, and ("list", T). Columns have besides "real": integers and other numbers together,
+# exactly; a column of type number holds doubles only.
+NUMERIC = ("int", "number", "real")
+
+
 def list_of(t: object) -> tuple:
     return ("list", t)
 
@@ -207,20 +220,48 @@ def type_of(v: object) -> object:
 
 
 def join_types(a: object, b: object) -> object:
-    """The smallest type that holds both."""
+    """The smallest column type that holds both."""
     if a == b or b == "never":
         return a
     if a == "never":
         return b
     if isinstance(a, tuple) and isinstance(b, tuple):
         return list_of(join_types(a[1], b[1]))
-    if {a, b} == {"int", "number"}:
-        return "number"
+    if a in NUMERIC and b in NUMERIC:
+        return "real"
     return "any"
 
 
 def is_subtype(a: object, b: object) -> bool:
-    return join_types(a, b) == b
+    """In the language, where number holds all of them."""
+    if a == "never" or b == "any" or a == b:
+        return True
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return is_subtype(a[1], b[1])
+    return a in NUMERIC and b in ("number", "real")
+
+
+def meet_types(a: object, b: object) -> object:
+    """The largest type that both hold; None if no value has both."""
+    if is_subtype(a, b):
+        return a
+    if is_subtype(b, a):
+        return b
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        inner = meet_types(a[1], b[1])
+        return list_of("never" if inner is None else inner)
+    return None
+
+
+def wider_type(a: object, b: object) -> object:
+    """The smallest type of the language that holds both."""
+    if is_subtype(a, b):
+        return b
+    if is_subtype(b, a):
+        return a
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return list_of(wider_type(a[1], b[1]))
+    return "any"
 
 
 def holds(v: object, t: object) -> bool:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.functions.values import Atom, NumericType, Pair, Unsupported, canonical_number, cons, holds, is_subtype, join_types, key_of, list_of, text_of, type_of, value_of
+from stratalog.functions import columns as C
+from stratalog.functions.values import CONS, NUMBER, ATOM, NUMERIC, Atom, NumericType, Unsupported, canonical_number, holds, is_subtype, join_types, joined_number, key_of, list_of, split_number, text_of, type_of, value_of
+from stratalog.functions.values import _read as read_key
 from stratalog.plans.ir import Arith, Cell, Compare, Const, Goal, Rel, SetOf, Term, TypeTest, Var, goal_vars, term_vars
 
 _fresh = itertools.count()
@@ -40,7 +42,7 @@ class Bindings:
 def spark_type(t: object) -> T.DataType:
     if isinstance(t, tuple):
         return T.ArrayType(spark_type(t[1]))
-    return {"atom": T.StringType(), "int": T.LongType(), "number": T.DoubleType(), "any": T.BinaryType(), "never": T.LongType()}[t]
+    return {"atom": T.StringType(), "int": T.LongType(), "number": T.DoubleType(), "real": C.REAL, "any": T.BinaryType(), "never": T.LongType()}[t]
 
 
 def lifted(v: object, t: object) -> object:
@@ -51,7 +53,7 @@ def lifted(v: object, t: object) -> object:
         return Atom(v)
     if t == "any":
         return value_of(bytes(v))
-    return canonical_number(v)
+    return joined_number(*v) if t == "real" else canonical_number(v)
 
 
 def lowered(v: object, t: object) -> object:
@@ -60,6 +62,8 @@ def lowered(v: object, t: object) -> object:
         return bytearray(key_of(v))
     if isinstance(t, tuple):
         return [lowered(x, t[1]) for x in v]
+    if t == "real":
+        return split_number(v)
     if t == "number":
         return float(v)
     return str(v) if isinstance(v, Atom) else v
@@ -74,31 +78,48 @@ def constant(v: object, t: object | None = None) -> Column:
     if isinstance(t, tuple):
         items = [constant(x, t[1]) for x in v]
         return F.array(*items) if items else empty_list(t)
-    return F.lit(lowered(v, t)).cast(spark_type(t))
+    if t == "real":
+        near, rest = split_number(v)
+        return F.struct(F.lit(near).alias("near"), F.lit(rest).cast("long").alias("rest"))
+    return F.lit(bytes(key_of(v)) if t == "any" else lowered(v, t)).cast(spark_type(t))
 
 
-def converted(c: Column, a: object, b: object) -> Column:
-    """A column of type ``a`` as the wider type ``b``; only the universal keys need Python."""
+def converted(c: Column, a: object, b: object, inside: bool = False) -> Column:
+    """A column of type ``a`` as the wider type ``b``, by Spark's functions alone. ``inside``: within a lambda."""
     if a == b:
         return c
+    if isinstance(a, tuple):
+        if b == "any":
+            return C.key_of_list(empty_list(list_of("any")) if a[1] == "never" else F.transform(c, lambda x: converted(x, a[1], "any", True)))
+        return empty_list(b) if a[1] == "never" else F.transform(c, lambda x: converted(x, a[1], b[1], True))
+    if a == "never":
+        return F.lit(None).cast(spark_type(b))
     if b == "any":
-        return F.udf(lambda v: None if v is None else bytearray(key_of(lifted(v, a))), T.BinaryType())(c)
-    if isinstance(a, tuple) and isinstance(b, tuple):
-        return empty_list(b) if a[1] == "never" else F.transform(c, lambda x: converted(x, a[1], b[1])) if b[1] != "any" else F.udf(lambda v: None if v is None else [bytearray(key_of(lifted(x, a[1]))) for x in v], T.ArrayType(T.BinaryType()))(c)
+        return C.key_of_atom(c) if a == "atom" else C.key_of_real(converted(c, a, "real", inside), inside)
+    if b == "real":
+        return (C.real_of_int if a == "int" else C.real_of_double)(c, inside)
     return c.cast(spark_type(b))
 
 
 def rendered(c: Column, t: object) -> Column:
     """Canonical text of lists and of mixed values; scalars as they are."""
-    if t == list_of("int"):
-        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
-    if isinstance(t, tuple) or t == "any":
-        return F.udf(lambda v: None if v is None else text_of(lifted(v, t)), "string")(c)
-    return c
+    if not isinstance(t, tuple) and t not in ("any", "real"):
+        return c
+    return _text(c, t) if _plain(t) else F.udf(lambda k: None if k is None else text_of(value_of(bytes(k))), "string", useArrow=True)(converted(c, t, "any"))
+
+
+def _plain(t: object) -> bool:
+    return _plain(t[1]) if isinstance(t, tuple) else t in ("int", "atom", "never")
+
+
+def _text(c: Column, t: object) -> Column:
+    if isinstance(t, tuple):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _text(x, t[1])), ", "), F.lit("]"))
+    return C.atom_text(c) if t == "atom" else c.cast("string")
 
 
 def _kind(t: object) -> str:
-    return "list" if isinstance(t, tuple) else "number" if t in ("int", "number") else t
+    return "list" if isinstance(t, tuple) else "number" if t in NUMERIC else t
 
 
 def equal(a: Column, ta: object, b: Column, tb: object) -> Column:
@@ -108,6 +129,14 @@ def equal(a: Column, ta: object, b: Column, tb: object) -> Column:
     return converted(a, ta, t) == converted(b, tb, t)
 
 
+def fitting(t: Term, kind: object) -> tuple[Column, object] | None:
+    """A numeric constant as a literal of a column's own type, so that a filter with it reaches the scan."""
+    if isinstance(t, Const) and not isinstance(t.value, (Atom, tuple)) and isinstance(t.value, (int, float)):
+        if kind == "number" and float(t.value) == t.value and abs(t.value) <= 1 << 53:
+            return F.lit(float(t.value)), "number"
+    return None
+
+
 class Compiler:
     """Turns goals into plans. ``lookup`` gives a goal's relation (None: no facts); ``functions`` the recognised list
     functions; in a query ``strict`` makes non-numeric operands an error, in rules the goal fails."""
@@ -129,8 +158,7 @@ class Compiler:
         if isinstance(tt, tuple):
             kind = join_types(th, tt[1])
             return F.concat(F.array(converted(head, th, kind)), converted(tail, tt, list_of(kind))), list_of(kind)
-        pair = F.udf(lambda a, b: bytearray(key_of(cons(value_of(bytes(a)), value_of(bytes(b))))), T.BinaryType())
-        return pair(converted(head, th, "any"), converted(tail, tt, "any")), "any"
+        return F.concat(F.lit(bytes([CONS])), converted(head, th, "any"), converted(tail, tt, "any")), "any"
 
     def known(self, env: dict, t: Term) -> bool:
         return all(v in env for v in term_vars(t))
@@ -138,7 +166,7 @@ class Compiler:
     def unify(self, b: Bindings, t: Term, c: Column, kind: object) -> Bindings:
         """Keep rows where the column's value matches the term; bind its new variables."""
         if self.known(b.env, t):
-            mine, k = self.term(b.env, t)
+            mine, k = fitting(t, kind) or self.term(b.env, t)
             return Bindings(b.df.where(equal(mine, k, c, kind)), b.env)
         if isinstance(t, Var):
             name = fresh()
@@ -148,14 +176,11 @@ class Compiler:
             df = b.df.where(F.size(c) > 0).withColumn(head, F.element_at(c, 1)).withColumn(tail, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))))
             th, tt = kind[1], kind
         elif kind == "any":
-            def parts(k: bytes) -> tuple | None:
-                v = value_of(bytes(k))
-                if isinstance(v, Pair):
-                    return bytearray(key_of(v.head)), bytearray(key_of(v.tail))
-                return (bytearray(key_of(v[0])), bytearray(key_of(v[1:]))) if isinstance(v, tuple) and v else None
-
-            split = F.udf(parts, "struct<h: binary, t: binary>")
-            df = b.df.where(F.substring(c, 1, 1) == F.lit(bytearray(b"\x40"))).withColumn(head, split(c)).withColumn(tail, F.col(head)["t"]).withColumn(head, F.col(head)["h"])
+            # how long the head's key is; the rest of the pair is its tail's
+            size = F.udf(lambda k: None if k is None else read_key(bytes(k), 1)[1] - 1, "int", useArrow=True)
+            long = fresh()
+            df = b.df.where(C.tag_is(c, CONS)).withColumn(long, size(c))
+            df = df.withColumn(head, F.substring(c, F.lit(2), F.col(long))).withColumn(tail, F.substring(c, F.col(long) + 2, F.length(c))).drop(long)
             th = tt = "any"
         else:
             df, th, tt = b.df.where(F.lit(False)).withColumn(head, F.lit(0).cast("long")).withColumn(tail, F.array().cast("array<bigint>")), "never", list_of("never")
@@ -164,19 +189,95 @@ class Compiler:
 
     # -- goals ---------------------------------------------------------------------------------------------------
 
-    def body(self, goals: tuple[Goal, ...], start: Bindings | None = None) -> Bindings | None:
-        """All goals in their order; None if a relation without facts makes the body fail."""
+    def body(self, goals: tuple[Goal, ...], start: Bindings | None = None, needed: set[str] | None = None) -> Bindings | None:
+        """All goals in their order; None if a relation without facts makes the body fail.
+
+        ``needed``: the variables that matter afterwards (None: all). A collected list that only its length, sum or
+        first element is taken of isn't built.
+        """
         b = start or Bindings(self.spark.range(1).select(F.lit(1).alias(fresh("u"))), {}, True)
         waiting = list(goals)
         while waiting:
             k = next((k for k, g in enumerate(waiting) if self.ready(b, g, waiting[:k])), None)
-            if k is None:
-                raise Unsupported(f"{waiting[0]}: its list must be bound by another goal")
-            b = self.goal(b, waiting.pop(k))
+            unbound = k is None
+            if unbound:
+                # a list function that nothing gives a list to ranges over all lists there are
+                k = next((k for k, g in enumerate(waiting) if isinstance(g, Rel) and not g.negated), None)
+                if k is None:
+                    raise Unsupported(f"{waiting[0]}: nothing binds its variables")
+            g = waiting.pop(k)
+            if unbound:
+                b = self.present(b, g)
+                if b is None:
+                    return None
+                continue
+            fused = self.fusible(b, g, waiting, needed) if isinstance(g, SetOf) else None
+            if fused is not None:
+                how, out, other = fused
+                if other is not None:
+                    waiting.remove(other)
+                b = self.aggregate(b, g, how, out)
+            elif isinstance(g, Rel) and not g.negated and g.key not in self.functions and (band := self.band(b, g, waiting)):
+                b = self.near(b, g, *band)
+            else:
+                b = self.goal(b, g)
             if b is None:
                 return None
         return b
 
+    def fusible(self, b: Bindings, g: SetOf, waiting: list[Goal], needed: set[str] | None) -> tuple[str, Term, Goal | None] | None:
+        """Which aggregate stands for the list, the term it binds, and the goal that asked for it."""
+        if isinstance(g.result, Const) and g.result.value == ():
+            return "none", g.result, None
+        if needed is None:
+            return None
+        used = [x for x in waiting if isinstance(g.result, Var) and g.result.name in goal_vars(x)]
+        if isinstance(g.result, Var) and g.result.name not in needed and g.result.name not in b.env and len(used) == 1:
+            use = used[0]
+            shape = self.functions.get(use.key) if isinstance(use, Rel) and not use.negated else None
+            if shape in ("length", "sum") and use.args[0] == g.result and g.result.name not in term_vars(use.args[1]):
+                return shape, use.args[1], use
+        if isinstance(g.result, Cell) and isinstance(g.result.tail, Var):
+            tail = g.result.tail.name
+            if tail not in needed and tail not in b.env and tail not in term_vars(g.result.head) and not any(tail in goal_vars(x) for x in waiting):
+                return "least", g.result.head, None
+        return None
+
+    def band(self, b: Bindings, g: Rel, waiting: list[Goal]) -> tuple[str, str, bool, float] | None:
+        """A join on a distance: variables l and r of the two sides, which of them is bound, and how far apart they may be.
+
+        Looks for ``l < r``, ``D = r - l`` and ``D < limit``.
+        """
+        if b.unit or any(v in b.env for v in goal_vars(g)):
+            return None
+        mine = set(goal_vars(g))
+        below = {(x.left.name, x.right.name) for x in waiting if isinstance(x, Compare) and x.op in ("<", "<=") and not x.negated and isinstance(x.left, Var) and isinstance(x.right, Var)}
+        limits = {x.left.name: x.right.value for x in waiting if isinstance(x, Compare) and x.op in ("<", "<=") and not x.negated and isinstance(x.left, Var) and isinstance(x.right, Const) and isinstance(x.right.value, (int, float)) and x.right.value > 0}
+        for x in waiting:
+            if isinstance(x, Arith) and x.op == "-" and isinstance(x.out, Var) and x.out.name in limits and isinstance(x.left, Var) and isinstance(x.right, Var):
+                low, high = x.right.name, x.left.name
+                for bound, new in ((low, high), (high, low)):
+                    if (low, high) in below and bound in b.env and new in mine and new not in b.env and b.env[bound][1] in ("int", "number"):
+                        return low, high, bound == low, float(limits[x.out.name])
+        return None
+
+    def near(self, b: Bindings, g: Rel, low: str, high: str, bound_is_low: bool, limit: float) -> Bindings | None:
+        """Both sides meet by bins as wide as the limit, so only neighbours are compared; the goals that say so filter later."""
+        r = self.lookup(g)
+        if r is None:
+            return None
+        side = self.matched(g, r)
+        mine, theirs = (b.env[low], side.env[high]) if bound_is_low else (b.env[high], side.env[low])
+        if theirs[1] not in ("int", "number"):
+            return self.present(b, g)
+        bin_, other = fresh("b"), fresh("b")
+        at = lambda c: F.floor(F.col(c).cast("double") / F.lit(limit))
+        step = 1 if bound_is_low else -1
+        # rounding may move a value to the next bin, so one more on each side is looked at
+        places = F.array(*[at(mine[0]) + k * step for k in (-1, 0, 1, 2)])
+        df = b.df.withColumn(bin_, F.explode(places)).join(side.df.withColumn(other, at(theirs[0])), F.col(bin_) == F.col(other)).drop(bin_, other)
+        return Bindings(df, b.env | side.env)
+
     def ready(self, b: Bindings, g: Goal, before: list[Goal]) -> bool:
         """List functions wait for their list, and what reads their results waits for them."""
         if isinstance(g, Rel) and g.key in self.functions:
@@ -252,103 +353,196 @@ class Compiler:
             test = equal(x, tx, y, ty)
             test = ~test if (g.op == "!=") != g.negated else test
             return Bindings(b.df.where(test), b.env)
-        x, y = self.number(x, tx), self.number(y, ty)
+        x, tx = fitting(g.left, ty) or self.number(x, tx)
+        y, ty = fitting(g.right, tx) or self.number(y, ty)
+        if tx != ty or tx not in ("int", "number"):
+            x, y = converted(x, tx, "real"), converted(y, ty, "real")
         test = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[g.op]
         return Bindings(b.df.where(~test if g.negated else test), b.env)
 
-    def number(self, c: Column, kind: object) -> Column:
-        """The column as a number; elsewhere null in rules, so the goal fails, and an error in queries."""
-        if kind in ("int", "number", "never"):
-            return c
+    def number(self, c: Column, kind: object) -> tuple[Column, object]:
+        """The column as a number and its type; elsewhere null in rules, so the goal fails, and an error in queries."""
+        if kind in NUMERIC:
+            return c, kind
+        if kind == "never":
+            return c, "int"
         if kind != "any":
             if self.strict:
                 raise NumericType("a number was needed")
-            return F.lit(None).cast("double")
-
-        def read(k: bytes) -> float | None:
-            v = value_of(bytes(k))
-            return float(v) if isinstance(v, (int, float)) and not isinstance(v, Atom) else None
-
-        got = F.udf(read, "double")(c)
-        return F.coalesce(got, F.raise_error(F.lit("NumericType")).cast("double")) if self.strict else got
+            return F.lit(None).cast("long"), "int"
+        got = C.real_of_key(c)
+        return (F.coalesce(got, F.raise_error(F.lit("NumericType")).cast(C.REAL)) if self.strict else got), "real"
 
     def arithmetic(self, b: Bindings, g: Arith) -> Bindings:
-        (x, tx), (y, ty) = self.term(b.env, g.left), self.term(b.env, g.right)
-        kind = "int" if tx == ty == "int" else "number"
-        x, y = self.number(x, tx), self.number(y, ty)
-        if self.strict:
-            c = x + y if g.op == "+" else x - y
-        else:
-            c = F.try_add(x, y) if g.op == "+" else F.try_subtract(x, y)
+        """Integers exactly, within 64 bits; with a float among the operands, as doubles. What leaves the range fails, or is an error in a query."""
+        (x, tx), (y, ty) = (self.number(*self.term(b.env, t)) for t in (g.left, g.right))
         name = fresh()
-        df = b.df.withColumn(name, c.cast(spark_type(kind)))
+        if tx == ty == "int":
+            c, kind = self.whole(g.op, x, y), "int"
+        elif "real" in (tx, ty):
+            x, y = converted(x, tx, "real"), converted(y, ty, "real")
+            i, j = C.int_of_real(x), C.int_of_real(y)
+            c = F.when(i.isNotNull() & j.isNotNull(), C.real_of_int(self.whole(g.op, i, j))).otherwise(C.real_of_double(self.finite(g.op, x["near"], y["near"])))
+            kind = "real"
+        else:
+            c, kind = self.finite(g.op, x.cast("double"), y.cast("double")), "number"
+        df = b.df.withColumn(name, c)
         if not self.strict:
-            df = df.where(F.col(name).isNotNull())
+            df = df.where(F.col(name)["near"].isNotNull() if kind == "real" else F.col(name).isNotNull())
         return self.unify(Bindings(df, b.env), g.out, F.col(name), kind)
 
-    def has_type(self, c: Column, kind: object, t: object) -> Column:
+    def whole(self, op: str, x: Column, y: Column) -> Column:
+        if self.strict:
+            return x + y if op == "+" else x - y
+        return F.try_add(x, y) if op == "+" else F.try_subtract(x, y)
+
+    def finite(self, op: str, x: Column, y: Column) -> Column:
+        c = (x + y if op == "+" else x - y) + F.lit(0.0)
+        out = F.when(F.abs(c) < F.lit(float("inf")), c)
+        return F.when(out.isNull() & c.isNotNull(), F.raise_error(F.lit("OVERFLOW")).cast("double")).otherwise(out) if self.strict else out
+
+    def has_type(self, c: Column, kind: object, t: object, inside: bool = False) -> Column:
         if is_subtype(kind, t):
             return F.lit(True)
-        if kind == "number" and t == "int":
-            return (c == F.floor(c)) & (F.abs(c) < F.lit(float(2**63)))
-        if kind != "any" and not isinstance(kind, tuple):
+        if isinstance(kind, tuple):
+            return F.forall(c, lambda x: self.has_type(x, kind[1], t[1], True)) if isinstance(t, tuple) else F.lit(False)
+        if kind in NUMERIC:
+            return C.is_whole(converted(c, kind, "real", inside), inside) if t == "int" else F.lit(False)
+        if kind != "any":
             return F.lit(False)
-        return F.udf(lambda v: holds(lifted(v, kind), t), "boolean")(c)
-
-    def aggregate(self, b: Bindings, g: SetOf) -> Bindings | None:
-        """Distinct outer keys meet the inner goals once; groups that find nothing keep an empty list."""
+        if t == "atom":
+            return C.tag_is(c, ATOM)
+        if t == "int":
+            return F.coalesce(C.is_whole(C.real_of_key(c, inside), inside), F.lit(False))
+        if t == "number":
+            return C.tag_is(c, NUMBER)
+        return F.udf(lambda k: k is not None and holds(value_of(bytes(k)), t), "boolean", useArrow=True)(c)
+
+    def aggregate(self, b: Bindings, g: SetOf, how: str = "list", out: Term | None = None) -> Bindings | None:
+        """Distinct outer keys meet the inner goals once; groups that find nothing keep an empty list.
+
+        ``how`` says what of the list is wanted: all of it, its length, its sum, its least element, or that there is none.
+        These aggregates combine before the shuffle, and lists aren't built for them.
+        """
+        out = g.result if out is None else out
         inner_vars = {v for x in g.goals for v in goal_vars(x)} | set(term_vars(g.template))
         corr = [v for v in b.env if v in inner_vars]
         keys = [b.env[v][0] for v in corr]
         start = Bindings(b.df.select(*keys).distinct(), {v: b.env[v] for v in corr}) if corr else None
-        inner = self.body(g.goals, start)
+        inner = self.body(g.goals, start, set(corr) | set(term_vars(g.template)))
         name = fresh("s")
         if inner is None:
-            kind: object = list_of("never")
-            return self.unify(Bindings(b.df.withColumn(name, constant((), kind)), b.env), g.result, F.col(name), kind)
+            empty = {"length": (0, "int"), "sum": (0, "int"), "list": ((), list_of("never"))}.get(how)
+            if how == "none":
+                return b
+            if empty is None:
+                return Bindings(b.df.where(F.lit(False)), b.env | {v: (k, "never") for v in term_vars(out) if v not in b.env for k in [next(iter(b.df.columns))]})
+            value, kind = empty
+            return self.unify(Bindings(b.df.withColumn(name, constant(value, kind)), b.env), out, F.col(name), kind)
         c, element = self.term(inner.env, g.template)
-        kind = list_of(element)
-        collected = F.array_sort(F.collect_set(c)).alias(name)
-        empty = empty_list(kind)
+        named = [f"{name}_{i}" for i in range(len(keys))]
+        if how == "none":
+            found = inner.df.select(*[F.col(inner.env[v][0]).alias(n) for v, n in zip(corr, named)]) if corr else inner.df.limit(1).select(F.lit(1).alias(name))
+            return Bindings(b.df.join(found, self._same(keys, named), "left_anti"), b.env)
+        if how == "sum" and element not in NUMERIC:
+            how = "list of numbers"
+        kind: object = list_of(element)
+        if how == "length":
+            taken, kind, empty = F.count_distinct(c), "int", F.lit(0).cast("long")
+        elif how == "least":
+            taken, kind, empty = F.min(c), element, None
+        elif how == "sum" and element in ("int", "number"):
+            inner = Bindings(inner.df.withColumn(f"{name}_v", c), inner.env)
+            taken, kind, empty = F.expr(f"try_sum(DISTINCT {name}_v)"), element, F.lit(0).cast(spark_type(element))
+        else:
+            taken, empty = F.array_sort(F.collect_set(c)), empty_list(kind)
+        taken = taken.alias(name)
         if corr:
             # keys keep the names they had outside; groups join back to the rows they came from
-            grouped = inner.df.groupBy(*[F.col(inner.env[v][0]).alias(f"{name}_{i}") for i, v in enumerate(corr)]).agg(collected)
-            on = None
-            for i, k in enumerate(keys):
-                same = F.col(k) == F.col(f"{name}_{i}")
-                on = same if on is None else on & same
-            df = b.df.join(grouped, on, "left").drop(*[f"{name}_{i}" for i in range(len(keys))]).withColumn(name, F.coalesce(name, empty))
+            grouped = inner.df.groupBy(*[F.col(inner.env[v][0]).alias(n) for v, n in zip(corr, named)]).agg(taken)
+            if how == "sum":
+                # a sum outside its range is no answer; a group without members sums to nought
+                grouped = grouped.where(F.col(name).isNotNull()) if self.strict else grouped.withColumn(f"{name}_ok", F.col(name).isNotNull())
+            df = b.df.join(grouped, self._same(keys, named), "inner" if how == "least" else "left").drop(*named)
+            if f"{name}_ok" in df.columns:
+                df = df.where(F.coalesce(f"{name}_ok", F.lit(True))).drop(f"{name}_ok")
+            if empty is not None:
+                df = df.withColumn(name, F.coalesce(name, empty))
         else:
-            df = b.df.crossJoin(F.broadcast(inner.df.agg(collected)))
-        return self.unify(Bindings(df, b.env), g.result, F.col(name), kind)
+            one = inner.df.agg(taken)
+            df = b.df.crossJoin(one.where(F.col(name).isNotNull()) if how == "least" else one.withColumn(name, F.coalesce(name, empty)))
+        made = Bindings(df, b.env)
+        if how in ("sum", "list of numbers") and isinstance(kind, tuple):
+            return self.summed(made, F.col(name), kind, out)
+        return self.unify(made, out, F.col(name), kind)
+
+    @staticmethod
+    def _same(keys: list[str], named: list[str]) -> Column:
+        same = F.lit(True)
+        for k, n in zip(keys, named):
+            same = same & (F.col(k) == F.col(n))
+        return same
+
+    def total(self, c: Column, kind: tuple) -> tuple[Column, object]:
+        """A list's sum; lists with other values than numbers, and sums outside the range, have none."""
+        element = kind[1]
+        if element in ("int", "never"):
+            return F.aggregate(c.cast("array<bigint>"), F.lit(0).cast("long"), lambda acc, x: F.try_add(acc, x)), "int"
+        if element == "number":
+            return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), "number"
+        if element not in ("real", "any"):
+            return F.when(F.size(c) == 0, F.lit(0).cast("long")), "int"
+        reals = c if element == "real" else F.transform(c, lambda x: C.real_of_key(x, True))
+
+        def add(acc: Column, x: Column) -> Column:
+            i, j = C.int_of_real(acc, True), C.int_of_real(x, True)
+            return F.when(i.isNotNull() & j.isNotNull(), C.real_of_int(F.try_add(i, j), True)).otherwise(C.real_of_double(acc["near"] + x["near"]))
+
+        return F.when(~F.exists(reals, lambda x: x.isNull()), F.aggregate(reals, constant(0, "real"), add)), "real"
+
+    def summed(self, b: Bindings, c: Column, kind: tuple, out: Term) -> Bindings:
+        name = fresh()
+        value, t = self.total(c, kind)
+        df = b.df.withColumn(name, value)
+        df = df.where(F.col(name)["near"].isNotNull() if t == "real" else F.col(name).isNotNull())
+        return self.unify(Bindings(df, b.env), out, F.col(name), t)
 
-    def function(self, b: Bindings, g: Rel, shape: str) -> Bindings:
-        """length, sum, member and collectfirst of a bound list, without recursion."""
+    def function(self, b: Bindings, g: Rel, shape: str) -> Bindings | None:
+        """length, sum, member and collectfirst of a bound list, without recursion; of other values, from the relation."""
         at = 1 if shape == "member" else 0
-        if g.negated or not self.known(b.env, g.args[at]):
-            if g.negated and shape == "member" and self.known(b.env, g.args[at]):
-                (x, tx), (c, kind) = self.term(b.env, g.args[0]), self.term(b.env, g.args[1])
-                t = join_types(tx, kind[1])
-                return Bindings(b.df.where(~F.array_contains(converted(c, kind, list_of(t)), converted(x, tx, t))), b.env)
-            raise Unsupported(f"{g}: the list must be bound by another goal")
         c, kind = self.term(b.env, g.args[at])
         if not isinstance(kind, tuple):
-            raise Unsupported(f"{g}: its argument must be a list")
-        name = fresh()
-        if shape == "length":
-            return self.unify(Bindings(b.df.withColumn(name, F.size(c).cast("long")), b.env), g.args[1], F.col(name), "int")
+            return self.absent(b, g) if g.negated else self.present(b, g)
         if shape == "member":
+            if g.negated:
+                x, tx = self.term(b.env, g.args[0])
+                t = join_types(tx, kind[1])
+                return Bindings(b.df.where(~F.array_contains(converted(c, kind, list_of(t)), converted(x, tx, t))), b.env)
+            name = fresh()
             df = b.df.withColumn(name, F.explode(F.array_distinct(c)))
             return self.unify(Bindings(df, b.env), g.args[0], F.col(name), kind[1])
-        if shape == "collectfirst":
-            inner = kind[1] if isinstance(kind[1], tuple) else list_of("never")
-            return self.unify(Bindings(b.df.withColumn(name, F.transform(c, lambda x: F.element_at(x, 1))), b.env), g.args[1], F.col(name), list_of(inner[1]))
-        element = kind[1]
-        if element not in ("int", "number", "never"):
-            return Bindings(b.df.where(F.lit(False)).withColumn(name, F.lit(0).cast("long")), b.env | {v: (name, "int") for v in term_vars(g.args[1]) if v not in b.env})
-        t = "number" if element == "number" else "int"
-        total = F.aggregate(c.cast(spark_type(list_of(t))), F.lit(0).cast(spark_type(t)), lambda acc, x: acc + x)
-        return self.unify(Bindings(b.df.withColumn(name, total), b.env), g.args[1], F.col(name), t)
+        name = fresh()
+        value, t = self.taken(shape, c, kind)
+        there = lambda c: F.col(c)["near"].isNotNull() if t == "real" else F.col(c).isNotNull()
+        df = b.df.withColumn(name, value)
+        if g.negated:
+            mine, k = self.term(b.env, g.args[1])
+            return Bindings(df.where(~there(name) | ~equal(mine, k, F.col(name), t)).drop(name), b.env)
+        return self.unify(Bindings(df.where(there(name)), b.env), g.args[1], F.col(name), t)
+
+    def taken(self, shape: str, c: Column, kind: tuple) -> tuple[Column, object]:
+        """A list function's value and type; null where it has none."""
+        if shape == "length":
+            return F.size(c).cast("long"), "int"
+        if shape == "sum":
+            return self.total(c, kind)
+        inner = kind[1]
+        if isinstance(inner, tuple):
+            fits = F.forall(c, lambda x: F.size(x) == 2)
+            return F.when(fits, F.transform(c, lambda x: F.element_at(x, 1))), list_of(inner[1])
+        if inner == "any":
+            raise Unsupported("collectfirst needs pairs of one type")
+        return F.when(F.size(c) == 0, empty_list(list_of("never"))), list_of("never")
 
     # -- heads ---------------------------------------------------------------------------------------------------
 

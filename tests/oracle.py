@@ -45,4 +45,4 @@ if __name__ == "__main__":
             ok = c1 == c2 and a == b
             print(name, "ok" if ok else f"DIFFERS {c1} {c2} {len(a)} {len(b)} {a[:2]} {b[:2]}", len(a), round(time.time() - t, 1), flush=True)
         except Exception as x:
-            print(name, "ERROR", str(x)[:300].replace("\n", " "), traceback.format_exc().splitlines()[-1][:100], flush=True)
+            print(name, "ERROR", str(x)[:3000].replace("\n", " "), traceback.format_exc().splitlines()[-1][:100], flush=True)

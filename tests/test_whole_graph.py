@@ -27,12 +27,12 @@ def rows(spark, name):
     return sorted(map(tuple, QUERIES[name](spark, DIR).collect()))
 
 
-@pytest.mark.parametrize("name", ["tc_linear_right_all", "tc_linear_left_all", "tc_nonlinear_all"])
+@pytest.mark.parametrize("name", ["tc_linear_right", "tc_linear_left", "tc_nonlinear"])
 def test_paths(spark, paths, name):
     assert max(x for x, _ in paths) >= 24 and rows(spark, name) == sorted(paths)
 
 
 def test_over_paths(spark, suppliers, paths):
-    assert rows(spark, "mutual_even_odd_all") == sorted((x, y) for x, y in paths if (y - x) % 2 == 0)
-    assert rows(spark, "negation_over_recursion_all") == sorted((x,) for x in suppliers if x not in {y for _, y in paths})
-    assert rows(spark, "agg_over_recursion_all") == sorted((x, sum(a == x for a, _ in paths)) for x in suppliers)
+    assert rows(spark, "mutual_even_odd") == sorted((x, y) for x, y in paths if (y - x) % 2 == 0)
+    assert rows(spark, "negation_over_recursion") == sorted((x,) for x in suppliers if x not in {y for _, y in paths})
+    assert rows(spark, "agg_over_recursion") == sorted((x, sum(a == x for a, _ in paths)) for x in suppliers)
