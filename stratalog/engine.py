@@ -36,6 +36,7 @@ from stratalog.plans.policy import CostModel
 from stratalog.plans.check import check_program, check_rule, ordered, reads, seed_position
 from stratalog.plans.ir import Arith, Cell, Compare, Const, Fact, Goal, Query, Rel, Retract, Rule, Schema, Term, TypeTest, Var, goal_vars, term_vars
 from stratalog.plans.typing import check_types
+from stratalog.results import Answer
 from stratalog.plans.parser import parse_goals, parse_program, parse_rule
 
 Key = tuple[str, int]
@@ -146,7 +147,7 @@ class Engine:
         columns = columns or df.columns
         picked, types = [], []
         for c in columns:
-            col, kind = _external(F.col(f"`{c}`"), df.schema[c].dataType)
+            col, kind = external_column(F.col(f"`{c}`"), df.schema[c].dataType)
             picked.append(col)
             types.append(kind)
         out = df.select(*[c.alias(f"c{i}") for i, c in enumerate(picked)]).na.drop()
@@ -251,6 +252,20 @@ class Engine:
         check_types(rule.body, new.schemas, rule.head)
         self._commit(new, None)
 
+    def admitted(self, rule: Rule, others: list[Rule]) -> Rule:
+        """A rule that could stand beside the engine's own and these; an error if it can't."""
+        rule = check_rule(rule)
+        check_program([*self.state.rules, *others, rule])
+        check_types(rule.body, self.state.schemas, rule.head)
+        return rule
+
+    def replace_rules(self, rules: list[Rule]) -> None:
+        """All rules at once."""
+        check_program(rules)
+        new = self.state.copy()
+        new.rules = tuple(rules)
+        self._commit(new, None)
+
     def declare_schema(self, s: Schema) -> None:
         names = [n for n, _ in s.columns if n]
         if len(set(names)) != len(names):
@@ -601,6 +616,20 @@ class Engine:
                 raise NumericOverflow(str(goals)) from error
             raise
 
+    def results(self, goals: tuple[Goal, ...] | str, order: tuple[tuple[str, bool], ...] = ()) -> list[Answer]:
+        """Answers with typed accessors, in the order of ``query``."""
+        b, names = self.bindings(goals)
+        for k, _ in order:
+            if k not in names:
+                raise UnknownVariable(k)
+        if b is None:
+            return []
+        if not names:
+            return [Answer({})] if b.df.limit(1).count() else []
+        keys = [F.col(b.env[k][0]).desc() if down else F.col(b.env[k][0]).asc() for k, down in order]
+        rows = b.df.select(*[F.col(b.env[n][0]) for n in names]).distinct().orderBy(*keys, *[F.col(b.env[n][0]) for n in names]).collect()
+        return [Answer({n: lifted(v, b.env[n][1]) for n, v in zip(names, r)}) for r in rows]
+
     def explain_query(self, goals: tuple[Goal, ...] | str) -> str:
         """The goals in the order they are evaluated, with how each is, and Spark's plan."""
         goals = parse_goals(goals) if isinstance(goals, str) else goals
@@ -818,7 +847,7 @@ def _literal_frame(spark: SparkSession, rows: frozenset, types: tuple) -> DataFr
     return spark.createDataFrame([tuple(lowered(v, t) for v, t in zip(r, types)) for r in sorted(rows, key=repr)], schema)
 
 
-def _external(c, kind: T.DataType) -> tuple:
+def external_column(c, kind: T.DataType) -> tuple:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("long"), "int"
     if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -827,7 +856,7 @@ def _external(c, kind: T.DataType) -> tuple:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")), "int"
     if isinstance(kind, T.ArrayType):
-        inner = _external(F.lit(None).cast(kind.elementType), kind.elementType)[1]
+        inner = external_column(F.lit(None).cast(kind.elementType), kind.elementType)[1]
         return c.cast(T.ArrayType(spark_type(inner))), ("list", inner)
     return c.cast("string"), "atom"
 

@@ -146,6 +146,33 @@ query("projected_view_delete", _POOR + "v(R, L) :- nation(N, M, R), setof(S, poo
       then=lambda e: (e.materialize(), e.apply_changes({}, {("supplier", 3): Relation(e.relation(("supplier", 3)).df.where("c0 % 2 = 0 AND c2 < 0"), ("int", "int", "number"))})), nation=NATION, supplier=SUPPLIER)
 
 
+def folded(name: str, program: str, views: list[str], base: list[tuple[str, int]], rules: list[str], goals: str, columns: str, sql: str, **tables: str) -> None:
+    """A question answered from views and the named base relations alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from stratalog.plans.folding import Views
+
+        e = engine(spark, sf_dir, **tables)
+        e.execute(program)
+        catalog = Views(e)
+        for v in views:
+            catalog.define_view(v)
+        for b in base:
+            catalog.declare_base_available(*b)
+        return catalog.answer_folded(catalog.fold_query(goals, rules), sort=False).toDF(*columns.split())
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_PATHS = ["path(X, Y) :- link(X, Y).", "path(X, Z) :- link(X, Y), path(Y, Z)."]
+folded("fold_identity", RUNS, ["copy(Y, X) :- link(X, Y)."], [], _PATHS, "path(X, Y)", "x y", f"{RUNS_SQL} SELECT x, y FROM path", supplier=SUPPLIER)
+folded("fold_even_paths", RUNS, ["two(X, Z) :- link(X, Y), link(Y, Z)."], [], _PATHS, "path(X, Y)", "x y", f"{RUNS_SQL} SELECT x, y FROM path WHERE (y - x) % 2 = 0", supplier=SUPPLIER)
+folded("fold_canonical", "", ["by(R, S) :- nation(K, N, R), setof([A, B], nation(A, B, R), S)."], [], ["bigger(R, K) :- nation(K, N, R), nation(L, M, R), L > K.", "top(K) :- nation(K, N, R), not bigger(R, K)."], "top(K)", "k",
+       "SELECT max(n_nationkey)::varchar AS k FROM nation GROUP BY n_regionkey", nation=NATION)
+folded("fold_hybrid", "", ["copy(N, K, R) :- nation(K, N, R)."], [("supplier", 3)], ["served(M) :- supplier(S, K, B), nation(K, M, R), B > 0."], "served(M)", "m",
+       "SELECT DISTINCT n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0", nation=NATION, supplier=SUPPLIER)
+
+
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, nation=NATION).rows("nation", 3, offset=5, limit=7, by=[(1, True)]).toDF("k", "n", "r", "origin")
 
