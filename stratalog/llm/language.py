@@ -17,9 +17,9 @@ UNDETERMINED = "und"
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 400, 8_000
 #: Texts are encoded in pieces of so many bytes, so that the dictionary, not the text itself, decides.
 PIECE_BYTES = 1024
-#: A text is rejected if its margin, by which share the second-best encoding is larger, is below all but this share of
-#: the margins of rightly judged training texts cut to its length: the longest of these lengths it reaches, in bytes.
-MARGIN_SHARE, MARGIN_LENGTHS = 0.01, (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+#: A text is rejected if its margin, by which share the second-best encoding is larger, is below a part of what all but a
+#: share of the rightly judged training texts reach when cut to its length: the lower of the two of these lengths, in bytes, that it lies between.
+MARGIN_PART, MARGIN_SHARE, MARGIN_LENGTHS = 0.5, 0.01, (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
 #: How many training rows of all languages together show these margins, and how many at least for a length.
 MARGIN_ROWS, LEAST_MARGINS = 800, 20
 
@@ -102,8 +102,11 @@ class CompressionClassifier:
             return UNDETERMINED, 0.0, 0.0, True
         body = folded(text)
         language, score, margin = self.measure(body)
-        least = next((m for n, m in reversed(self.least) if n <= len(body)), 0.0)
-        return language, score, margin, margin < least
+        return language, score, margin, margin < MARGIN_PART * self.least_of(len(body))
+
+    def least_of(self, length: int) -> float:
+        at = sum(n <= length for n, _ in self.least)
+        return min((m for _, m in self.least[max(0, at - 1) : at + 1]), default=0.0) if at else 0.0
 
     def measure(self, body: bytes) -> tuple[str, float, float]:
         """Language, score and margin of a folded text."""
