@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.llm.common import shared_dir, stored
 from stratalog.llm.queries import STAGES
 
-#: Learned models and packing have no SQL; tests hold run() against a brute-force version.
+#: Learned models and packing have no SQL; tests hold run() against a plain version of the stages on a small corpus.
 ORACLE_SQL = None
 
 
