@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2000
 
-_ASCII_SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -40,11 +37,14 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop, whatever store it is in."""
+def only_kept(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete all tables below ``folder`` but those named, through Hadoop, whatever store it is in."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        if status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -62,6 +62,15 @@ def bounded_batches(spark: SparkSession) -> None:
 _kept: dict[str, dict] = {}
 
 
+def trimmed() -> None:
+    """Hand memory that this Python worker no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def memory_of(operator: str) -> dict:
     """What this Python worker keeps for ``operator`` between tasks.
 
@@ -71,21 +80,10 @@ def memory_of(operator: str) -> dict:
     for k in others:
         del _kept[k]
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trimmed()
     return _kept.setdefault(operator, {})
 
 
 def remainder_of_id(name: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the fold of a row."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(modulus)
-
-
-def ascii_words(text: str) -> list[str]:
-    """The text cut at ASCII white space only; other separators stay inside words. Empty strings mark repeated spaces."""
-    for c in _ASCII_SPACES:
-        text = text.replace(c, " ")
-    return text.split(" ")

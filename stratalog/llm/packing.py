@@ -187,8 +187,8 @@ def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limi
                 yield b if with_ids else b.drop_columns(["ids"])
 
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.encode(t) + end
+            for key, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist())):
+                ids += end
                 pending.append(((key, ids), len(ids) // 4, 1))
                 tokens += len(ids) // 4
                 if len(pending) >= POOL_ITEMS // 2 or tokens >= POOL_TOKENS // 2:

@@ -30,13 +30,13 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str, text: str = "text", ke
     """
     keep = ["doc_id"] if keep is None else keep
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     schema = ", ".join([*(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "n_tokens long, prefix_steps binary, step_bytes int"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
         for batch in batches:
-            steps = [bpe.prefix_steps(t) for t in batch.column(len(keep)).to_pylist()]
+            steps = bpe.prefix_steps_all(batch.column(len(keep)).to_pylist())
             totals = [int(np.frombuffer(s, np.int8 if w == 1 else "<i4").sum(dtype=np.int64)) for s, w in steps]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(totals, pa.int64()), pa.array([s for s, _ in steps], pa.binary()), pa.array([w for _, w in steps], pa.int32())],
