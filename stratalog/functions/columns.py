@@ -41,17 +41,22 @@ def _real(near: Column, rest: Column) -> Column:
     return F.struct(near.alias("near"), rest.cast("long").alias("rest"))
 
 
-def real_of_int(c: Column, inside: bool = False) -> Column:
-    def made(x: Column) -> Column:
-        rest = F.when(x.between(-(1 << 53), 1 << 53), F.lit(0)).otherwise((x.cast(_EXACT) - _exactly(x.cast("double"))).cast("long"))
-        return F.when(x.isNotNull(), _real(x.cast("double"), rest))
+def _int_as_real(x: Column) -> Column:
+    rest = F.when(x.between(-(1 << 53), 1 << 53), F.lit(0)).otherwise((x.cast(_EXACT) - _exactly(x.cast("double"))).cast("long"))
+    return F.when(x.isNotNull(), _real(x.cast("double"), rest))
+
 
-    return let(c, made, inside=inside)
+def _double_as_real(x: Column) -> Column:
+    # minus nought is nought
+    return F.when(x.isNotNull(), _real(x + F.lit(0.0), F.lit(0)))
+
+
+def real_of_int(c: Column, inside: bool = False) -> Column:
+    return let(c, _int_as_real, inside=inside)
 
 
 def real_of_double(c: Column, inside: bool = False) -> Column:
-    # minus nought is nought
-    return let(c, lambda x: F.when(x.isNotNull(), _real(x + F.lit(0.0), F.lit(0))), inside=inside)
+    return let(c, _double_as_real, inside=inside)
 
 
 def _whole(r: Column) -> Column:
@@ -81,27 +86,38 @@ def _power(e: Column) -> Column:
     return F.pow(F.lit(2.0), e.cast("double"))
 
 
-def key_of_real(c: Column, inside: bool = False) -> Column:
-    """The tag, the double's bits as they sort when read without sign, and the rest."""
+def _guessed(r: Column) -> Column:
+    return _with(r, "near", "rest", size=F.abs(r["near"]), guess=F.floor(F.log2(F.abs(r["near"]))).cast("int"))
 
-    def guessed(r: Column) -> Column:
-        return _with(r, "near", "rest", size=F.abs(r["near"]), guess=F.floor(F.log2(F.abs(r["near"]))).cast("int"))
 
-    def exponent(s: Column) -> Column:
-        low = F.when(s["size"] < _power(s["guess"]), F.lit(1)).otherwise(F.lit(0))
-        high = F.when((s["guess"] < 1023) & (s["size"] >= _power(s["guess"] + 1)), F.lit(1)).otherwise(F.lit(0))
-        return _with(s, "near", "rest", "size", e=s["guess"] - low + high)
+def _exponent(s: Column) -> Column:
+    low = F.when(s["size"] < _power(s["guess"]), F.lit(1)).otherwise(F.lit(0))
+    high = F.when((s["guess"] < 1023) & (s["size"] >= _power(s["guess"] + 1)), F.lit(1)).otherwise(F.lit(0))
+    return _with(s, "near", "rest", "size", e=s["guess"] - low + high)
+
+
+def _bits(s: Column) -> Column:
+    tiny = (s["size"] / F.lit(2.0**-1074)).cast("long")
+    normal = F.shiftleft((s["e"] + 1023).cast("long"), 52) + ((s["size"] / _power(s["e"]) - 1.0) * float(1 << 52)).cast("long")
+    return _with(s, "near", "rest", bits=F.when(s["size"] == 0.0, F.lit(0).cast("long")).when(s["size"] < F.lit(2.0**-1022), tiny).otherwise(normal))
 
-    def bits(s: Column) -> Column:
-        tiny = (s["size"] / F.lit(2.0**-1074)).cast("long")
-        normal = F.shiftleft((s["e"] + 1023).cast("long"), 52) + ((s["size"] / _power(s["e"]) - 1.0) * float(1 << 52)).cast("long")
-        return _with(s, "near", "rest", bits=F.when(s["size"] == 0.0, F.lit(0).cast("long")).when(s["size"] < F.lit(2.0**-1022), tiny).otherwise(normal))
 
-    def key(s: Column) -> Column:
-        sorting = F.when(s["near"] < 0, F.bitwise_not(s["bits"]).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(s["bits"].bitwiseOR(F.lit(_LEAST)))
-        return F.concat(_byte(NUMBER), _bytes(sorting), _bytes(s["rest"].bitwiseXOR(F.lit(_LEAST))))
+def _key(s: Column) -> Column:
+    sorting = F.when(s["near"] < 0, F.bitwise_not(s["bits"]).bitwiseAND(F.lit((1 << 63) - 1))).otherwise(s["bits"].bitwiseOR(F.lit(_LEAST)))
+    return F.concat(_byte(NUMBER), _bytes(sorting), _bytes(s["rest"].bitwiseXOR(F.lit(_LEAST))))
 
-    return let(c, guessed, exponent, bits, key, inside=inside)
+
+def key_of_real(c: Column, inside: bool = False) -> Column:
+    """The tag, the double's bits as they sort when read without sign, and the rest."""
+    return let(c, _guessed, _exponent, _bits, _key, inside=inside)
+
+
+def keys_of_numbers(c: Column, kind: str) -> Column:
+    """The keys of a list's numbers, one pass over the list a step."""
+    first = {"int": [_int_as_real], "number": [_double_as_real], "real": []}[kind]
+    for step in [*first, _guessed, _exponent, _bits, _key]:
+        c = F.transform(c, step)
+    return c
 
 
 def key_of_atom(c: Column) -> Column:

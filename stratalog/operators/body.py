@@ -90,8 +90,12 @@ def converted(c: Column, a: object, b: object, inside: bool = False) -> Column:
         return c
     if isinstance(a, tuple):
         if b == "any":
-            return C.key_of_list(empty_list(list_of("any")) if a[1] == "never" else F.transform(c, lambda x: converted(x, a[1], "any", True)))
-        return empty_list(b) if a[1] == "never" else F.transform(c, lambda x: converted(x, a[1], b[1], True))
+            return C.key_of_list(converted(c, a, list_of("any"), inside))
+        if a[1] == "never":
+            return empty_list(b)
+        if b[1] == "any" and a[1] in NUMERIC and not inside:
+            return C.keys_of_numbers(c, a[1])
+        return F.transform(c, lambda x: converted(x, a[1], b[1], True))
     if a == "never":
         return F.lit(None).cast(spark_type(b))
     if b == "any":
@@ -153,6 +157,15 @@ class Compiler:
         if isinstance(t, Const):
             kind = type_of(t.value)
             return constant(t.value, kind), kind
+        parts, rest = [], t
+        while isinstance(rest, Cell):
+            parts.append(self.term(env, rest.head))
+            rest = rest.tail
+        if isinstance(rest, Const) and rest.value == ():
+            kind = "never"
+            for _, k in parts:
+                kind = join_types(kind, k)
+            return F.array(*[converted(c, k, kind) for c, k in parts]), list_of(kind)
         head, th = self.term(env, t.head)
         tail, tt = self.term(env, t.tail)
         if isinstance(tt, tuple):
