@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ MAGIC, FOOT = b"STRSST1\n", b"STRFOOT\n"
 BLOCK_ROWS = 64
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Input bytes (compressed columns) behind one shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -55,6 +56,8 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; the names that Hadoop's drivers have for S3 are taken as S3."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -197,9 +200,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sha
         path = f"{folder}/shard-{part:06d}.sst"
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist())):
                 writer = writer or ShardWriter(path, 4 if bpe.wide or end_id > 0xFFFF else 2)
-                writer.add(key_of(i), np.frombuffer(bpe.encode(t) + end, "<u4"))
+                writer.add(key_of(i), np.frombuffer(ids + end, "<u4"))
         if writer:
             foot = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "path": [path], "records": pa.array([foot["records"]], pa.int64()), "tokens": pa.array([foot["tokens"]], pa.int64())})
