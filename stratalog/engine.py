@@ -469,7 +469,7 @@ class Engine:
             if got is None:
                 return None
             for into, r in zip((inserted, deleted), got):
-                if r is not None and not r.df.isEmpty():
+                if r is not None:
                     into[p] = r
         made = maintained(lambda lookup, mine: self._compiler(lookup, mine, False), lambda lookup, mine: old._compiler(lookup, mine, False), rules, part, before, base, inserted, deleted, folder, self.upkeep)
         if made is None:
@@ -502,8 +502,11 @@ class Engine:
             if other is not None:
                 df = df.join(widened(other, types), names, "left_anti")
             sides.append(Relation(df, types))
-        out = tuple(None if r is None else Relation(kept(r.df, folder, f"{key[0]}-{key[1]}-{side}")[0], r.types) for side, r in zip(("in", "out"), sides))
-        return out
+        out = []
+        for side, r in zip(("in", "out"), sides):
+            df, rows = kept(r.df, folder, f"{key[0]}-{key[1]}-{side}") if r is not None else (None, 0)
+            out.append(Relation(df, r.types) if rows else None)
+        return tuple(out)
 
     def _moved(self, old: "Engine", key: Key, folder: str, of_base: bool) -> Relation | None:
         """Facts of a predicate that a change since ``old`` can have moved; None where only a full comparison tells."""
