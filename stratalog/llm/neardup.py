@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,13 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BATCH_BYTES, bounded_batches, memory_of, shared_dir, stored
+from stratalog.llm.common import BATCH_BYTES, bounded_batches, memory_of, only_kept, shared_dir, stored, trimmed
 
-#: Signature length and how many coordinates two signatures must share. At a similarity of 0.8 exactly, fewer than 24 of
-#: 48 agree with a probability of about 1e-6.
-COORDINATES, AGREE = 48, 24
-#: Hubs a posting list has at most; a list of m members uses about 1.5 log2 m of them.
-HUBS = 16
+#: Signature length.
+COORDINATES = 48
+#: Sizes within this factor share a band.
+BAND = 1.05
+#: Hubs a posting list has at most; a list of m members uses about log2 m of them.
+HUBS = 8
 #: Up to so many ids (16 MB) are broadcast to fetch the candidates' texts; beyond it the texts are joined by id.
 BROADCAST_IDS = 1_000_000
 
@@ -28,10 +30,15 @@ _XORS = [int(x) for x in np.random.default_rng(12).integers(0, 1 << 62, HUBS)]
 
 @dataclass(frozen=True)
 class Shingling:
-    """How many words make a shingle, and the similarity to reach in percent."""
+    """How many words make a shingle, the similarity to reach in percent, and how many coordinates must collide for it.
+
+    At a similarity of 0.8 exactly, fewer than 24 of 48 collide with a probability of about 1e-6; with ``agree`` 1 of 1e-33,
+    at the cost of longer prefixes.
+    """
 
     words: int = 5
     percent: int = 80
+    agree: int = 24
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -63,13 +70,13 @@ def _as_long(x: int) -> int:
 
 
 def _signed(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
-    """Per row of (doc_id, text): n, class hash (c1, c2), and its pairs or its whole set."""
+    """Per row of (doc_id, th, text): n, class hash (c1, c2), and its pairs or its whole set."""
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory_of("neardup")
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             n, c1, c2, extra, size, at = [], [], [], [], 0, 0
             for i, text in enumerate(texts):
                 s = shingle_set(text, width)
@@ -80,10 +87,13 @@ def _signed(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
                 extra.append(s.view(np.int64) if with_sets else signature(s) if len(s) else [])
                 size += 8 * len(extra[-1])
                 if size >= BATCH_BYTES or i + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "held"])
+                    span = slice(at, i + 1)
+                    made = [pa.array(v, pa.int64()) for v in (n, c1, c2)] + [pa.array(extra, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([ids[span], hashes[span], *made], names=["doc_id", "th", "n", "c1", "c2", "held"])
                     n, c1, c2, extra, size, at = [], [], [], [], 0, i + 1
+        trimmed()
 
-    return docs.mapInArrow(sign, "doc_id long, n long, c1 long, c2 long, held array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(sign, "doc_id long, th long, n long, c1 long, c2 long, held array<long>")
 
 
 def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -106,98 +116,132 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
         if new == said:
             break
         said = new
+    else:
+        raise RuntimeError(f"components of {name} didn't settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose sizes allow the similarity and whose signatures share AGREE coordinates."""
+def _agreeing(pairs: DataFrame, classes: DataFrame, shingling: Shingling) -> DataFrame:
+    """Pairs (u, v) whose sizes allow the similarity and whose signatures share enough coordinates."""
     known = classes.select("rep", "n", "held")
     a = known.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("held").alias("hu"))
     b = known.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("held").alias("hv"))
-    return pairs.join(a, "u").join(b, "v").where(_sizes_allow(F.col("nu"), F.col("nv"), percent) & (F.size(F.array_intersect("hu", "hv")) >= AGREE)).select("u", "v").distinct()
+    return pairs.join(a, "u").join(b, "v").where(_sizes_allow(F.col("nu"), F.col("nv"), shingling.percent) & (F.size(F.array_intersect("hu", "hv")) >= shingling.agree)).select("u", "v").distinct()
 
 
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingling: Shingling, folder: str, name: str) -> DataFrame:
-    """Pairs whose whole sets reach the similarity. Sets are made again from the representatives' texts."""
-    wanted = pairs.select(F.col("u").alias("rep")).unionAll(pairs.select(F.col("v").alias("rep"))).distinct()
-    wanted = stored(classes.select("rep", "doc", "c1", "c2").join(wanted, "rep"), folder, f"{name}-wanted")
+def _sets(reps: DataFrame, docs: DataFrame, classes: DataFrame, shingling: Shingling, folder: str, name: str) -> DataFrame:
+    """The whole sets of classes, (rep, s), made again from one text each."""
+    wanted = stored(classes.select("rep", "doc", "c1", "c2").join(reps, "rep"), folder, f"{name}-wanted")
     ids = wanted.select(F.col("doc").alias("doc_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     made = _signed(texts, shingling.words, True).select("c1", "c2", F.col("held").alias("s"))
-    made = stored(made.join(F.broadcast(wanted.select("rep", "c1", "c2")) if few else wanted.select("rep", "c1", "c2"), ["c1", "c2"]).select("rep", "s").dropDuplicates(["rep"]), folder, f"{name}-sets")
-    a, b = (made.select(F.col("rep").alias(k), F.col("s").alias(f"s{k}")) for k in "uv")
+    classed = wanted.select("rep", "c1", "c2")
+    return stored(made.join(F.broadcast(classed) if few else classed, ["c1", "c2"]).select("rep", "s").dropDuplicates(["rep"]), folder, f"{name}-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, shingling: Shingling, folder: str, name: str) -> DataFrame:
+    """Pairs whose whole sets reach the similarity."""
+    a, b = (sets.select(F.col("rep").alias(k), F.col("s").alias(f"s{k}")) for k in "uv")
     both = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("su", "sv")).cast("long"))
     return stored(both.where(F.col("both") * 100 >= (F.size("su") + F.size("sv") - F.col("both")) * shingling.percent).select("u", "v"), folder, f"{name}-edges")
 
 
-def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether it is its own).
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
 
-    Two texts are linked if 100 * |A and B| >= percent * |A or B| over their distinct shingle sets; texts without
-    words link with nothing.
 
-    1. Rows of equal sets collapse into classes, with map-side aggregation, so copies cost one row.
-    2. Each class posts under every coordinate-value pair of its signature. Pairs that one class alone posts are
-       skipped, and of the rest, rarest first, only the prefix in which two signatures that agree AGREE times must
-       meet; the most frequent lists are never merged. Lists with the same members count once.
-    3. First join: members meet the list's hubs (about 1.5 log2 of its members). Collisions are counted over both
-       signatures; AGREE or more, and sizes that allow it, go to whole sets. What is confirmed makes components.
-    4. Second join: in lists that still hold several components, members outside the largest meet all members of
-       other components, each pair in the first list that holds both, so no pair is left that is neither compared nor already connected. No list is
-       gathered in a task, and none is paired with itself throughout.
-    5. Components of all links, with the copies put back.
+def _across(open_: DataFrame, sets: DataFrame, shingling: Shingling, folder: str) -> DataFrame:
+    """Pairs (u, v) of open members (rep, label) in different components whose whole sets may reach the similarity.
 
-    Null and empty texts have no shingles and are kept. Null ids stay null, and are not taken as smallest.
-    Rows that repeat an id are judged by their own texts. Other columns are ignored; an empty table gives no rows.
+    With shingles in one order, rarest first, two sets of n <= m members that link share at least p (n + m) / (100 + p)
+    (p percent), so what either holds from their first common shingle on is no less. Hence the smaller set
+    posts its first shingles, as long as 2 p n / (100 + p) are left, under the band of its size; the larger one posts
+    a shingle under each band of smaller sizes for which enough is left. Shingles of one member alone lead the
+    order and are posted by none, so texts with edits of their own have little to post. A list's
+    largest component isn't paired with itself.
     """
+    p = shingling.percent
+    tokens = sets.select("rep", F.explode("s").alias("shingle"))
+    counts = tokens.groupBy("shingle").count().where("count > 1")
+    met = tokens.join(counts.hint("shuffle_hash"), "shingle")
+    ranked = met.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("t"))
+    known = ranked.join(sets.select("rep", F.size("s").cast("long").alias("n")), "rep").join(open_, "rep")
+    each = known.select("rep", "label", "n", F.size("t").cast("long").alias("held"), F.posexplode("t").alias("i", "t"))
+    each = each.select("rep", "label", "n", (F.col("held") - F.col("i")).alias("rest"), F.col("t.shingle").alias("shingle")).where(F.col("rest") * 100 >= F.col("n") * p)
+
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.lit(math.log(BAND))).cast("int")
+
+    most = F.least(F.col("n"), F.floor(F.col("rest") * (100 + p) / p).cast("long") - F.col("n"))
+    lowest, highest = band(F.ceil(F.col("n") * p / 100)), band(F.greatest(most, F.lit(1)))
+    larger = each.where(most * 100 >= F.col("n") * p).where(highest >= lowest).select("*", F.explode(F.sequence(lowest, highest)).alias("band"), F.lit(False).alias("smaller"))
+    smaller = each.where(F.col("rest") * (100 + p) >= F.col("n") * 2 * p).select("*", band(F.col("n")).alias("band"), F.lit(True).alias("smaller"))
+    posted = stored(smaller.unionAll(larger), folder, "posted")
+    parts = posted.groupBy("shingle", "band", "label").count().groupBy("shingle", "band").agg(F.count("*").alias("parts"), F.max(F.struct("count", "label"))["label"].alias("main")).where("parts > 1")
+    still = stored(posted.join(parts.select("shingle", "band", "main"), ["shingle", "band"]), folder, "still")
+    a, b = (still.select("shingle", "band", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "label", "n", "rest", "smaller", "main")]) for k in (1, 2))
+    fits = (F.col("label1") != F.col("label2")) & (F.col("smaller1") != F.col("smaller2")) & (F.col("smaller1") | (F.col("label2") == F.col("main2")))
+    fits &= F.when(F.col("smaller1"), F.col("n1") <= F.col("n2")).otherwise(F.col("n2") <= F.col("n1"))
+    fits &= F.least("rest1", "rest2") * (100 + p) >= (F.col("n1") + F.col("n2")) * p
+    met = a.where("label1 != main1").join(b, (a["shingle"] == b["shingle"]) & (a["band"] == b["band"]) & fits)
+    return met.select(F.least("rep1", "rep2").alias("u"), F.greatest("rep1", "rep2").alias("v")).distinct()
+
+
+def _named(classes: DataFrame) -> DataFrame:
+    """Classes with ``rep``, a long that no other class has."""
+    for seed in range(64):
+        out = classes.withColumn("rep", F.xxhash64("c1", "c2", F.lit(seed)))
+        if out.groupBy("rep").count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("no distinct names for the classes")
+
+
+def grouped_rows(docs: DataFrame, shingling: Shingling = Shingling(), folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, th (its text's xxhash64), n_shingles, label (its group; null without words), component_id. See ``near_duplicates``."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
     rows = stored(_signed(docs, shingling.words, False), folder, "rows")
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("held").alias("held"))
-    classes = stored(classes.withColumn("rep", F.coalesce("doc", "c1")), folder, "classes")
+    classes = _named(stored(classes, folder, "classes"))
 
     posted = classes.select("rep", "n", F.explode("held").alias("token"))
     shared = posted.groupBy("token").count().where("count > 1")
     met = posted.join(shared.hint("shuffle_hash"), "token")
     ranked = met.groupBy("rep").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "token"))).alias("tokens"))
-    prefix = ranked.where(F.size("tokens") >= AGREE).select("rep", "n", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - AGREE + 1)).alias("t"))
+    prefix = ranked.where(F.size("tokens") >= shingling.agree).select("rep", "n", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - shingling.agree + 1)).alias("t"))
     postings = stored(prefix.select("rep", "n", F.col("t.token").alias("token")), folder, "postings")
 
     hubs = [F.min(F.col("rep").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"h{k}") for k, x in enumerate(_XORS)]
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"), *hubs).where("m > 1")
     lists = lists.groupBy("m", "x1", "x2", *[f"h{k}" for k in range(HUBS)]).agg(F.min("token").alias("token"))
-    used = F.least(F.ceil(1.5 * F.log2("m")), F.lit(HUBS)).cast("int")
+    used = F.least(F.ceil(F.log2("m")), F.lit(HUBS)).cast("int")
     lists = stored(lists.select("token", F.array_distinct(F.slice(F.array(*[f"h{k}" for k in range(HUBS)]), F.lit(1), used)).alias("hubs")), folder, "lists")
-    members = postings.join(lists, "token")
-    first = members.select("rep", F.explode("hubs").alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
+    # most lists of a member share their hubs
+    met = postings.join(lists, "token").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    first = met.select("rep", F.explode("hubs").alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
     first = stored(first, folder, "first")
-    links = _confirmed(stored(_agreeing(first, classes, shingling.percent), folder, "first-agree"), docs, classes, shingling, folder, "first")
+    agreeing = stored(_agreeing(first, classes, shingling), folder, "first-agree")
+    links = _confirmed(agreeing, _sets(_ends(agreeing), docs, classes, shingling, folder, "first"), shingling, folder, "first")
     labels = stored(connected(links, folder, "one"), folder, "labels")
 
-    named = postings.join(lists.select("token"), "token").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = postings.join(lists.select("token"), "token").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
     named = stored(named, folder, "named")
-    open_lists = named.groupBy("token", "label").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "label"))["label"].alias("main")).where("parts > 1").select("token", "main")
-    still = stored(named.join(open_lists, "token"), folder, "still")
-    where = still.groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("places"))
-    held = stored(still.join(where, "rep").join(classes.select("rep", "held"), "rep"), folder, "open")
-    left = held.where("label != main").select("token", F.col("rep").alias("r1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("held").alias("s1"), F.col("places").alias("p1"))
-    right = held.select("token", F.col("rep").alias("r2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("held").alias("s2"), F.col("places").alias("p2"), "main")
-    # a pair meets in the first of the lists that hold both
-    once = F.array_min(F.array_intersect("p1", "p2")) == left["token"]
-    meet = (left["token"] == right["token"]) & (F.col("l1") != F.col("l2")) & ((F.col("l2") == F.col("main")) | (F.col("r1") < F.col("r2"))) & _sizes_allow(F.col("n1"), F.col("n2"), shingling.percent) & once & (F.size(F.array_intersect("s1", "s2")) >= AGREE)
-    second = left.join(right, meet).select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v"))
-    second = stored(second.join(first, ["u", "v"], "left_anti"), folder, "second")
+    several = named.groupBy("token").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("token")
+    open_ = stored(named.join(several, "token").select("rep", "label").distinct(), folder, "open")
+    open_sets = _sets(open_.select("rep"), docs, classes, shingling, folder, "open")
+    second = _across(open_, open_sets, shingling, folder).join(first, ["u", "v"], "left_anti")
+    second = stored(_agreeing(second, classes, shingling), folder, "second")
     if second.isEmpty():
         final = labels
     else:
-        more = _confirmed(second, docs, classes, shingling, folder, "second")
+        more = _confirmed(second, open_sets, shingling, folder, "second")
         lu, lv = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
         joined = more.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
         top = connected(joined, folder, "two").select(F.col("node").alias("old"), F.col("label").alias("top"))
@@ -206,10 +250,37 @@ def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder:
     joined = classes.select("c1", "c2", "doc", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     grouped = stored(joined.select("c1", "c2", "doc", "label"), folder, "grouped")
     smallest = grouped.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_class = grouped.join(smallest, "label").select("c1", "c2", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionAll(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    of_class = stored(grouped.join(smallest, "label").select("c1", "c2", "label", "component_id"), folder, "of-class")
+    only_kept(spark, folder, "rows", "of-class")
+    out = rows.where("n > 0").join(of_class, ["c1", "c2"], "left").select("doc_id", "th", F.col("n").alias("n_shingles"), "label", "component_id")
+    bare = rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return out.unionAll(bare)
+
+
+def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (whether it is its own).
+
+    Two texts are linked if 100 * |A and B| >= percent * |A or B| over their distinct shingle sets; texts without
+    words link with nothing.
+
+    1. Rows of equal sets collapse into classes, with map-side aggregation, so copies cost one row.
+    2. Each class posts under every coordinate-value pair of its signature. Pairs that one class alone posts are
+       skipped, and of the rest, rarest first, only the prefix in which two signatures that agree often enough must
+       meet; the most frequent lists are never merged. Lists with the same members count once.
+    3. First join: members meet the list's hubs (about log2 of its members, HUBS at most). Collisions are counted over both
+       signatures; enough of them, and sizes that allow it, go to whole sets. What is confirmed makes components.
+    4. Second join: of lists that still hold several components, members of different components meet if what their whole
+       sets hold from their first common shingle on allows a link (``_across``); collisions are counted and
+       whole sets compared as before. So no pair is left that is neither ruled out nor already connected, and none is
+       capped.
+    5. Components of all links, with the copies put back.
+
+    Classes go by a name of their own, so rows that repeat an id are judged by their own texts; groups that hold one id
+    have equal component ids then. Null and empty texts have no shingles and are kept. Null ids stay null, and are not
+    taken as smallest. Other columns are ignored; an empty table gives no rows.
+    """
+    out = grouped_rows(docs, shingling, folder, doc_id, text).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,11 +292,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the smallest id (five-word shingles).
 
-    Of rows that repeat the kept id all but one go too. Rows with a null id all stay.
+    Of rows of one group that share the smallest id, the one with the smallest text hash stays; null ids come last. Rows of
+    different groups stay even if they share an id; rows without words all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), shared_dir(spark), "gone")
-    out = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    folder = shared_dir(spark)
+    found = stored(grouped_rows(docs.select("doc_id", "text")).where("label IS NOT NULL").select("label", F.col("doc_id").isNull().alias("none"), "doc_id", "th"), folder, "found")
+    best = found.groupBy("label").agg(F.min(F.struct("none", "doc_id", "th")).alias("best"))
+    gone = found.join(best, "label").where(F.struct("none", "doc_id", "th") != F.col("best"))
+    gone = stored(gone.select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct(), folder, "gone")
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_th"]), "left_anti")
+    if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(out.where("doc_id IS NULL"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = out.where(worded).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text")).dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    return once.unionAll(out.where(~worded))
