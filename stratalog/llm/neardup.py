@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +15,6 @@ from stratalog.llm.common import BATCH_BYTES, bounded_batches, memory_of, only_k
 
 #: Signature length.
 COORDINATES = 48
-#: Sizes within this factor share a band.
-BAND = 1.05
 #: Hubs a posting list has at most; a list of m members uses about log2 m of them.
 HUBS = 8
 #: Up to so many ids (16 MB) are broadcast to fetch the candidates' texts; beyond it the texts are joined by id.
@@ -122,12 +119,15 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return stars.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, shingling: Shingling) -> DataFrame:
-    """Pairs (u, v) whose sizes allow the similarity and whose signatures share enough coordinates."""
-    known = classes.select("rep", "n", "held")
-    a = known.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("held").alias("hu"))
-    b = known.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("held").alias("hv"))
-    return pairs.join(a, "u").join(b, "v").where(_sizes_allow(F.col("nu"), F.col("nv"), shingling.percent) & (F.size(F.array_intersect("hu", "hv")) >= shingling.agree)).select("u", "v").distinct()
+def _agree(shingling: Shingling) -> Column:
+    """Whether sizes nu, nv allow the similarity and signatures hu, hv share enough coordinates."""
+    return _sizes_allow(F.col("nu"), F.col("nv"), shingling.percent) & (F.size(F.array_intersect("hu", "hv")) >= shingling.agree)
+
+
+def _ends_known(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of the classes, once as (u, nu, hu), once as (v, nv, hv)."""
+    u, v = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("held").alias(f"h{k}")) for k in "uv")
+    return u, v
 
 
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -156,40 +156,64 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
 
 
-def _across(open_: DataFrame, sets: DataFrame, shingling: Shingling, folder: str) -> DataFrame:
-    """Pairs (u, v) of open members (rep, label) in different components whose whole sets may reach the similarity.
+def _areas(open_: DataFrame, folder: str) -> DataFrame:
+    """(rep, label, area) of the open (rep, label, least): components that share a list, or are linked by such, lie in one area."""
+    shared = connected(open_.select(F.col("label").alias("u"), F.col("least").alias("v")), folder, "areas")
+    return stored(open_.select("rep", "label").distinct().join(shared.select(F.col("node").alias("label"), F.col("label").alias("area")), "label"), folder, "placed")
+
 
-    With shingles in one order, rarest first, two sets of n <= m members that link share at least p (n + m) / (100 + p)
-    (p percent), so what either holds from their first common shingle on is no less. Hence the smaller set
-    posts its first shingles, as long as 2 p n / (100 + p) are left, under the band of its size; the larger one posts
-    a shingle under each band of smaller sizes for which enough is left. Shingles of one member alone lead the
-    order and are posted by none, so texts with edits of their own have little to post. A list's
-    largest component isn't paired with itself.
+def _differing(placed: DataFrame, sets: DataFrame, shingling: Shingling, folder: str) -> DataFrame:
+    """(rep, area, label, n, d, w): what a member's set and its area's middle don't share, and what that costs.
+
+    The middle of an area M holds the shingles that more than half of its members hold. With A' = A ^ M, what A and B don't
+    share numbers |A'| + |B'| - 2 |A' & B'|, and they link if that is at most (100 - p) / (100 + p) of |A| + |B| (p percent).
+    With w(A) = (100 + p) |A'| - (100 - p) |A|, they link just if w(A) + w(B) <= 2 (100 + p) |A' & B'|.
     """
     p = shingling.percent
-    tokens = sets.select("rep", F.explode("s").alias("shingle"))
-    counts = tokens.groupBy("shingle").count().where("count > 1")
-    met = tokens.join(counts.hint("shuffle_hash"), "shingle")
+    held = sets.join(placed, "rep")
+    sizes = placed.groupBy("area").agg(F.count("*").alias("members")).where("members > 2")
+    counts = held.select("area", F.explode("s").alias("shingle")).groupBy("area", "shingle").agg(F.count("*").alias("holders"))
+    middle = counts.join(sizes, "area").where("2 * holders > members").groupBy("area").agg(F.collect_list("shingle").alias("middle"))
+    d = F.when(F.col("middle").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "middle"), F.array_except("middle", "s")))
+    each = held.join(stored(middle, folder, "middles"), "area", "left").select("rep", "area", "label", F.size("s").cast("long").alias("n"), d.alias("d"))
+    return stored(each.withColumn("w", (100 + p) * F.size("d").cast("long") - (100 - p) * F.col("n")), folder, "differing")
+
+
+def _merged(differing: DataFrame, folder: str) -> DataFrame:
+    """(area, label, main, low): components with a member that links with its area's most central one, which is in ``main``.
+
+    Members with w(A) + w(B) <= 0 link whatever they share; then both link with the member of the least w, ``low``, too.
+    """
+    central = differing.groupBy("area").agg(F.min(F.struct("w", "label")).alias("c")).select("area", F.col("c.w").alias("low"), F.col("c.label").alias("main"))
+    central = stored(central, folder, "central")
+    near = differing.groupBy("area", "label").agg(F.min("w").alias("w")).join(central, "area")
+    return stored(near.select("area", "label", "low", F.when(F.col("w") + F.col("low") <= 0, F.col("main")).otherwise(F.col("label")).alias("into"), "main"), folder, "merged")
+
+
+def _across(differing: DataFrame, merged: DataFrame, shingling: Shingling, folder: str) -> DataFrame:
+    """Pairs (u, v) of members in different components, as merged, whose whole sets may reach the similarity.
+
+    Such members have w(A) + w(B) > 0 (else both were merged), so they share differences from the middle. With these in
+    one order, rarest first, what either holds from the first they share on is no less than what they must share: a
+    member posts its differences as long as enough is left for the least w it can meet. Differences of one member
+    alone lead the order and are posted by none. A list's largest component isn't paired with itself.
+    """
+    p, twice = shingling.percent, 2 * (100 + shingling.percent)
+    tokens = differing.select("rep", "area", F.explode("d").alias("shingle"))
+    counts = tokens.groupBy("area", "shingle").count().where("count > 1")
+    met = tokens.join(counts.hint("shuffle_hash"), ["area", "shingle"])
     ranked = met.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("t"))
-    known = ranked.join(sets.select("rep", F.size("s").cast("long").alias("n")), "rep").join(open_, "rep")
-    each = known.select("rep", "label", "n", F.size("t").cast("long").alias("held"), F.posexplode("t").alias("i", "t"))
-    each = each.select("rep", "label", "n", (F.col("held") - F.col("i")).alias("rest"), F.col("t.shingle").alias("shingle")).where(F.col("rest") * 100 >= F.col("n") * p)
-
-    def band(n: Column) -> Column:
-        return F.floor(F.log(n.cast("double")) / F.lit(math.log(BAND))).cast("int")
-
-    most = F.least(F.col("n"), F.floor(F.col("rest") * (100 + p) / p).cast("long") - F.col("n"))
-    lowest, highest = band(F.ceil(F.col("n") * p / 100)), band(F.greatest(most, F.lit(1)))
-    larger = each.where(most * 100 >= F.col("n") * p).where(highest >= lowest).select("*", F.explode(F.sequence(lowest, highest)).alias("band"), F.lit(False).alias("smaller"))
-    smaller = each.where(F.col("rest") * (100 + p) >= F.col("n") * 2 * p).select("*", band(F.col("n")).alias("band"), F.lit(True).alias("smaller"))
-    posted = stored(smaller.unionAll(larger), folder, "posted")
-    parts = posted.groupBy("shingle", "band", "label").count().groupBy("shingle", "band").agg(F.count("*").alias("parts"), F.max(F.struct("count", "label"))["label"].alias("main")).where("parts > 1")
-    still = stored(posted.join(parts.select("shingle", "band", "main"), ["shingle", "band"]), folder, "still")
-    a, b = (still.select("shingle", "band", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "label", "n", "rest", "smaller", "main")]) for k in (1, 2))
-    fits = (F.col("label1") != F.col("label2")) & (F.col("smaller1") != F.col("smaller2")) & (F.col("smaller1") | (F.col("label2") == F.col("main2")))
-    fits &= F.when(F.col("smaller1"), F.col("n1") <= F.col("n2")).otherwise(F.col("n2") <= F.col("n1"))
-    fits &= F.least("rest1", "rest2") * (100 + p) >= (F.col("n1") + F.col("n2")) * p
-    met = a.where("label1 != main1").join(b, (a["shingle"] == b["shingle"]) & (a["band"] == b["band"]) & fits)
+    known = ranked.join(differing.select("rep", "area", "label", "n", "w"), "rep").join(merged, ["area", "label"])
+    met_least = F.when(F.col("into") == F.col("main"), F.greatest(F.col("low"), 1 - F.col("low"))).otherwise(F.col("low"))
+    enough = F.filter(F.transform("t", lambda t, i: F.struct((F.size("t") - i).cast("long").alias("rest"), t["shingle"].alias("shingle"))), lambda t: t["rest"] * twice >= F.col("w") + met_least)
+    posted = known.select("rep", "area", F.col("into").alias("label"), "n", "w", F.explode(enough).alias("t"))
+    posted = stored(posted.select("rep", "area", "label", "n", "w", "t.rest", "t.shingle"), folder, "posted")
+    parts = posted.groupBy("area", "shingle", "label").count().groupBy("area", "shingle").agg(F.count("*").alias("parts"), F.max(F.struct("count", "label"))["label"].alias("main")).where("parts > 1")
+    still = stored(posted.join(parts.select("area", "shingle", "main"), ["area", "shingle"]), folder, "still")
+    a, b = (still.select("area", "shingle", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "label", "n", "w", "rest", "main")]) for k in (1, 2))
+    fits = (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main2")) | (F.col("rep1") < F.col("rep2"))) & _sizes_allow(F.col("n1"), F.col("n2"), p)
+    fits &= F.least("rest1", "rest2") * twice >= F.col("w1") + F.col("w2")
+    met = a.where("label1 != main1").join(b, (a["area"] == b["area"]) & (a["shingle"] == b["shingle"]) & fits)
     return met.select(F.least("rep1", "rep2").alias("u"), F.greatest("rep1", "rep2").alias("v")).distinct()
 
 
@@ -225,27 +249,30 @@ def grouped_rows(docs: DataFrame, shingling: Shingling = Shingling(), folder: st
     lists = stored(lists.select("token", F.array_distinct(F.slice(F.array(*[f"h{k}" for k in range(HUBS)]), F.lit(1), used)).alias("hubs")), folder, "lists")
     # most lists of a member share their hubs
     met = postings.join(lists, "token").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
-    first = met.select("rep", F.explode("hubs").alias("hub")).where("rep != hub").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-    first = stored(first, folder, "first")
-    agreeing = stored(_agreeing(first, classes, shingling), folder, "first-agree")
+    known_u, known_v = _ends_known(classes)
+    first = met.withColumnRenamed("rep", "u").join(known_u, "u").select("u", "nu", "hu", F.explode("hubs").alias("v")).where("u != v").join(known_v, "v").where(_agree(shingling))
+    agreeing = stored(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), folder, "first-agree")
     links = _confirmed(agreeing, _sets(_ends(agreeing), docs, classes, shingling, folder, "first"), shingling, folder, "first")
     labels = stored(connected(links, folder, "one"), folder, "labels")
 
     named = postings.join(lists.select("token"), "token").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
     named = stored(named, folder, "named")
-    several = named.groupBy("token").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("token")
-    open_ = stored(named.join(several, "token").select("rep", "label").distinct(), folder, "open")
-    open_sets = _sets(open_.select("rep"), docs, classes, shingling, folder, "open")
-    second = _across(open_, open_sets, shingling, folder).join(first, ["u", "v"], "left_anti")
-    second = stored(_agreeing(second, classes, shingling), folder, "second")
-    if second.isEmpty():
+    several = named.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least != greatest").select("token", "least")
+    open_ = stored(named.join(several, "token").select("rep", "label", "least").distinct(), folder, "open")
+    open_sets = _sets(open_.select("rep").distinct(), docs, classes, shingling, folder, "open")
+    differing = _differing(_areas(open_, folder), open_sets, shingling, folder)
+    merged = _merged(differing, folder)
+    pairs = _across(differing, merged, shingling, folder)
+    second = stored(pairs.join(known_u, "u").join(known_v, "v").where(_agree(shingling)).select("u", "v"), folder, "second")
+    more = _confirmed(second, open_sets, shingling, folder, "second")
+    lu, lv = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
+    joined = more.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    joined = stored(joined.unionAll(merged.where("into != label").select(F.col("label").alias("u"), F.col("into").alias("v"))), folder, "joined")
+    if joined.isEmpty():
         final = labels
     else:
-        more = _confirmed(second, open_sets, shingling, folder, "second")
-        lu, lv = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
-        joined = more.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
         top = connected(joined, folder, "two").select(F.col("node").alias("old"), F.col("label").alias("top"))
-        every = labels.unionAll(more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+        every = labels.unionAll(top.select(F.col("old").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
         final = every.join(top, every["label"] == top["old"], "left").select("node", F.coalesce("top", "label").alias("label"))
     joined = classes.select("c1", "c2", "doc", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     grouped = stored(joined.select("c1", "c2", "doc", "label"), folder, "grouped")
@@ -269,8 +296,9 @@ def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder:
        meet; the most frequent lists are never merged. Lists with the same members count once.
     3. First join: members meet the list's hubs (about log2 of its members, HUBS at most). Collisions are counted over both
        signatures; enough of them, and sizes that allow it, go to whole sets. What is confirmed makes components.
-    4. Second join: of lists that still hold several components, members of different components meet if what their whole
-       sets hold from their first common shingle on allows a link (``_across``); collisions are counted and
+    4. Second join: components that share lists make areas. Whole sets are compared by their differences from the
+       area's middle (``_differing``): members near it are one component at once (``_merged``), and members of different
+       components meet where the differences they share allow a link (``_across``); collisions are counted and
        whole sets compared as before. So no pair is left that is neither ruled out nor already connected, and none is
        capped.
     5. Components of all links, with the copies put back.

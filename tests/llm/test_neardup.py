@@ -88,6 +88,22 @@ def test_second_join_is_needed_and_exact(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {rows[i][0]: wanted[i][1] for i in range(len(rows))}
 
 
+def test_few_pairs_of_one_large_group_are_listed(spark, monkeypatch, tmp_path):
+    """Copies of one text with changes of their own, most pairs just below the similarity: the second join rules most out unlisted."""
+    monkeypatch.setattr(neardup, "only_kept", lambda *a: None)
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        mine = [f"w{i}" for i in range(150)]
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 4, 4])):
+            mine[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(mine)))
+    wanted, _, _ = brute(rows, 4)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Shingling(words=4), str(tmp_path))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: w[1] for k, w in enumerate(wanted)}
+    assert spark.read.parquet(f"{tmp_path}/second").count() * 20 <= 300 * 299 // 2
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rng = random.Random(4)
     rows = [(rng.choice([None, *range(25)]), t) for t in texts(4)]
