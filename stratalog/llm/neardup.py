@@ -11,14 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import BATCH_BYTES, bounded_batches, memory_of, only_kept, shared_dir, stored, trimmed
+from stratalog.llm.common import BATCH_BYTES, BROADCAST_IDS, bounded_batches, if_few, memory_of, only_kept, shared_dir, stored, trimmed
 
 #: Signature length.
 COORDINATES = 48
 #: Hubs a posting list has at most; a list of m members uses about log2 m of them.
 HUBS = 8
-#: Up to so many ids (16 MB) are broadcast to fetch the candidates' texts; beyond it the texts are joined by id.
-BROADCAST_IDS = 1_000_000
 
 _MULTIPLIERS = [np.uint64(x | 1) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, COORDINATES, dtype=np.uint64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +168,7 @@ def _differing(placed: DataFrame, sets: DataFrame, shingling: Shingling, folder:
     With w(A) = (100 + p) |A'| - (100 - p) |A|, they link just if w(A) + w(B) <= 2 (100 + p) |A' & B'|.
     """
     p = shingling.percent
-    held = sets.join(placed, "rep")
+    held = sets.join(if_few(placed), "rep")
     sizes = placed.groupBy("area").agg(F.count("*").alias("members")).where("members > 2")
     counts = held.select("area", F.explode("s").alias("shingle")).groupBy("area", "shingle").agg(F.count("*").alias("holders"))
     middle = counts.join(sizes, "area").where("2 * holders > members").groupBy("area").agg(F.collect_list("shingle").alias("middle"))
@@ -262,9 +260,9 @@ def grouped_rows(docs: DataFrame, shingling: Shingling = Shingling(), folder: st
     open_sets = _sets(open_.select("rep").distinct(), docs, classes, shingling, folder, "open")
     differing = _differing(_areas(open_, folder), open_sets, shingling, folder)
     merged = _merged(differing, folder)
-    pairs = _across(differing, merged, shingling, folder)
-    second = stored(pairs.join(known_u, "u").join(known_v, "v").where(_agree(shingling)).select("u", "v"), folder, "second")
-    more = _confirmed(second, open_sets, shingling, folder, "second")
+    second = stored(_across(differing, merged, shingling, folder), folder, "second")
+    ends = stored(_ends(second), folder, "second-ends")
+    more = _confirmed(second, open_sets.join(if_few(ends), "rep", "left_semi"), shingling, folder, "second")
     lu, lv = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
     joined = more.join(lu, "u", "left").join(lv, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
     joined = stored(joined.unionAll(merged.where("into != label").select(F.col("label").alias("u"), F.col("into").alias("v"))), folder, "joined")
@@ -298,8 +296,8 @@ def near_duplicates(docs: DataFrame, shingling: Shingling = Shingling(), folder:
        signatures; enough of them, and sizes that allow it, go to whole sets. What is confirmed makes components.
     4. Second join: components that share lists make areas. Whole sets are compared by their differences from the
        area's middle (``_differing``): members near it are one component at once (``_merged``), and members of different
-       components meet where the differences they share allow a link (``_across``); collisions are counted and
-       whole sets compared as before. So no pair is left that is neither ruled out nor already connected, and none is
+       components meet where the differences they share allow a link (``_across``), and whole sets are compared
+       as before. So no pair is left that is neither ruled out nor already connected, and none is
        capped.
     5. Components of all links, with the copies put back.
 
@@ -328,6 +326,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     best = found.groupBy("label").agg(F.min(F.struct("none", "doc_id", "th")).alias("best"))
     gone = found.join(best, "label").where(F.struct("none", "doc_id", "th") != F.col("best"))
     gone = stored(gone.select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct(), folder, "gone")
+    gone = if_few(gone)
     out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_th"]), "left_anti")
     if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         return out
