@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import if_few, shared_dir, stored
+from stratalog.llm.common import if_few, released, shared_dir, stored
 
 WINDOW = 8
 #: At most so many rows are broadcast (terms: about 20 MB; windows: about 40 MB); beyond it terms go in blocks, windows by a shuffled join.
@@ -166,6 +166,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a window of any benchmark item go; a run of WINDOW words in order is no chance."""
+    released(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     folder = shared_dir(spark)
     found = contamination(build_index(docs, items, folder))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.bpe import word_bpe
-from stratalog.llm.common import bounded_batches
+from stratalog.llm.common import bounded_batches, released
 
 #: Items that wait for a place at once, in one task; with the token bound below it fixes the task's memory.
 POOL_ITEMS, POOL_TOKENS = 2048, 2_000_000
@@ -217,4 +217,5 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: all that is left, packed into sequences with their ids."""
     import public_tokenizers
 
+    released(spark)
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
