@@ -29,6 +29,7 @@ from stratalog.functions.values import (
     join_types,
     type_of,
 )
+from stratalog.operators.alike import by_classes, sources
 from stratalog.operators.body import Bindings, Compiler, Relation, lifted, lowered, rendered, spark_type, union, widened
 from stratalog.operators.fixpoint import OUTSIDE, Upkeep, closure_edge, doubled, kept, maintained, naive, reads_inside, semi_naive, shared_folder
 from stratalog.operators.lists import LISTS, list_constants, seeded, universe
@@ -443,7 +444,10 @@ class Engine:
         if edge is not None and not base:
             r = self.relation(edge.key)
             return {} if r is None else {part[0]: doubled(r, folder)}
-        return semi_naive(lambda lookup, mine: self._compiler(lookup, mine, False), rules, part, base, folder)
+        compiler_for = lambda lookup, mine: self._compiler(lookup, mine, False)
+        came = sources(rules, part, {LISTS, *list_functions(self.state)}) if not base else None
+        made = by_classes(compiler_for, rules, part, came, self.relation, folder) if came else None
+        return semi_naive(compiler_for, rules, part, base, folder) if made is None else made
 
     # -- maintenance ---------------------------------------------------------------------------------------------
 
@@ -592,6 +596,7 @@ class Engine:
 
         Lists and mixed values come as canonical text. A query without variables has one column and a row if it holds.
         """
+        goals = parse_goals(goals) if isinstance(goals, str) else goals
         b, names = self.bindings(goals)
         for k, _ in order:
             if k not in names:
@@ -600,12 +605,22 @@ class Engine:
             return self.spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names or ["yes"]]))
         if not names:
             return b.df.limit(1).select(F.lit(True).alias("yes"))
-        df = b.df.select(*[F.col(b.env[n][0]) for n in names]).distinct()
+        df = b.df.select(*[F.col(b.env[n][0]) for n in names])
+        if not self._unique(goals):
+            df = df.distinct()
         if sort:
             keys = [F.col(b.env[k][0]).desc() if down else F.col(b.env[k][0]).asc() for k, down in order]
             df = df.orderBy(*keys, *[F.col(b.env[n][0]) for n in names if n not in {k for k, _ in order}])
         return df.select(*[rendered(F.col(b.env[n][0]), b.env[n][1]).alias(n) for n in names])
 
+    def _unique(self, goals: tuple[Goal, ...]) -> bool:
+        """Whether answers are the rows of one predicate, each known to be there once."""
+        g = goals[0]
+        if len(goals) != 1 or not isinstance(g, Rel) or g.negated or not all(isinstance(t, Var) for t in g.args) or len(set(g.args)) != len(g.args):
+            return False
+        r = self._derived.get(g.key)
+        return r is not None and r.unique
+
     def answers(self, goals: tuple[Goal, ...] | str, order: tuple[tuple[str, bool], ...] = ()) -> list[tuple]:
         """The rows of a query, with errors of evaluation under their names."""
         try:

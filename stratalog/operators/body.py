@@ -24,10 +24,11 @@ def fresh(prefix: str = "x") -> str:
 
 @dataclass
 class Relation:
-    """Facts of one predicate: columns c0, c1, ... of the given types, each row once."""
+    """Facts of one predicate: columns c0, c1, ... of the given types, each row once; ``unique``: that it is so is known."""
 
     df: DataFrame
     types: tuple
+    unique: bool = False
 
 
 @dataclass

@@ -83,7 +83,7 @@ def doubled(edge: Relation, folder: str) -> Relation:
         made = made.distinct().toDF("c0", "c1")
         delta, rows = kept(made.join(known.df, ["c0", "c1"], "left_anti"), folder, f"delta-{k}")
         known.add(delta, rows)
-    return Relation(known.df, edge.types)
+    return Relation(known.df, edge.types, True)
 
 
 def base_empty(spark: SparkSession, types: tuple) -> DataFrame:
@@ -150,7 +150,7 @@ def semi_naive(compiler_for: CompilerFor, rules: list[Rule], part: list[Key], ba
         return Relation(known[g.key].df, types[g.key]) if g.key in known else None
 
     grow(compiler_for, rules, mine, types, known, fired(compiler_for, rules, full, mine), full, folder)
-    return {p: Relation(known[p].df, types[p]) for p in part if p in known}
+    return {p: Relation(known[p].df, types[p], True) for p in part if p in known}
 
 
 def _name(p: Key) -> str:
