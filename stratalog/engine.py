@@ -33,6 +33,7 @@ from stratalog.operators.alike import by_classes, sources
 from stratalog.operators.body import Bindings, Compiler, Relation, lifted, lowered, rendered, spark_type, union, widened
 from stratalog.operators.fixpoint import OUTSIDE, Upkeep, closure_edge, doubled, kept, maintained, naive, reads_inside, semi_naive, shared_folder
 from stratalog.operators.lists import LISTS, list_constants, seeded, universe
+from stratalog.operators.pairs import paired
 from stratalog.plans.policy import CostModel
 from stratalog.plans.check import check_program, check_rule, ordered, reads, seed_position
 from stratalog.plans.ir import Arith, Cell, Compare, Const, Fact, Goal, Query, Rel, Retract, Rule, Schema, Term, TypeTest, Var, goal_vars, term_vars
@@ -413,6 +414,9 @@ class Engine:
         if not recursive:
             found = [base[key]] if key in base else []
             compiler = self._compiler(lambda g: None, set(), False)
+            if len(rules) == 1 and not found and (pairs := paired(compiler, rules[0])) is not None:
+                self._derived[key] = pairs
+                return
             for r in rules:
                 b = compiler.body(r.body, needed=head_vars(r))
                 if b is not None:

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.engine import Engine
 
@@ -56,3 +57,44 @@ def test_classes_of_mixed_values(spark, rules):
     e.verify()
     e.execute("par(b1, b2). par(later, 7).")
     e.verify()
+
+
+def parts_and_plan(e, goals):
+    df = e.query(goals, sort=False)
+    return df.select(F.spark_partition_id()).distinct().count(), df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_one_key_are_dealt_out_without_a_distinct_over_them(spark):
+    e = Engine(spark)
+    e.register("at", spark.range(3000).selectExpr("id AS x", "7 AS n", "id % 10 AS b").coalesce(1))
+    e.execute("pair(X, Y) :- at(X, N, B), at(Y, N, C), X < Y.")
+    parts, plan = parts_and_plan(e, "pair(X, Y)")
+    assert parts > 4 and plan.startswith("Union")
+    assert e.query("pair(X, Y)", sort=False).count() == 3000 * 2999 // 2
+
+
+@pytest.mark.parametrize("key", ["long", "double", "string"])
+def test_pairs_whose_values_have_several_rows(spark, key):
+    rng = random.Random(4)
+    rows = [(x, rng.randrange(4), rng.randrange(-20, 20) / 2) for x in range(40) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    rows += rows[:9]
+    other = [(y, rng.randrange(4)) for y in range(30) for _ in range(rng.choice([1, 1, 2]))]
+    e = Engine(spark)
+    e.register("at", spark.createDataFrame(rows, "x long, n long, b double").selectExpr("x", f"cast(n as {key}) n", "b"))
+    e.register("by", spark.createDataFrame(other, "y long, n long").selectExpr("y", f"cast(n as {'string' if key == 'string' else 'long'}) n"))
+    e.execute("""
+    pair(X, Y) :- at(X, N, B), at(Y, N, C), X < Y. near(X, Y) :- at(X, N, B), at(Y, M, C), B < C, D = C - B, D < 2.
+    met(Y, X) :- at(X, N, B), by(Y, N), B > 0. own(X, Y) :- at(X, N, 0.5), by(Y, M), X != Y. same(X, Y) :- at(X, N, B), at(Y, N, B).
+    """)
+    made = {
+        "pair(X, Y)": {(x, y) for x, n, _ in rows for y, m, _ in rows if n == m and x < y},
+        "near(X, Y)": {(x, y) for x, _, b in rows for y, _, c in rows if b < c and c - b < 2},
+        "met(Y, X)": {(y, x) for x, n, b in rows for y, m in other if n == m and b > 0},
+        "own(X, Y)": {(x, y) for x, _, b in rows for y, _ in other if b == 0.5 and x != y},
+        "same(X, Y)": {(x, y) for x, n, b in rows for y, m, c in rows if (n, b) == (m, c)},
+    }
+    for goals, wanted in made.items():
+        assert e.answers(goals) == sorted(wanted), goals
+        assert e.query(goals, sort=False).count() == len(wanted), goals
+    e.execute("at(2, 3, 0.5). far(X) :- near(X, Y).")
+    assert (2,) in e.answers("far(X)")
