@@ -73,6 +73,15 @@ def test_pairs_of_one_key_are_dealt_out_without_a_distinct_over_them(spark):
     assert e.query("pair(X, Y)", sort=False).count() == 3000 * 2999 // 2
 
 
+def test_pairs_near_each_other_are_dealt_out_without_a_distinct_over_them(spark):
+    e = Engine(spark)
+    e.register("at", spark.range(600).selectExpr("id AS x", "7 AS n", "cast(id as double) / 4 AS b").coalesce(1))
+    e.execute("near(X, Y) :- at(X, N, B), at(Y, M, C), B < C, D = C - B, D < 10.")
+    parts, plan = parts_and_plan(e, "near(X, Y)")
+    assert parts > 4 and plan.startswith("Union")
+    assert e.answers("near(X, Y)") == sorted((x, y) for x in range(600) for y in range(600) if x < y < x + 40)
+
+
 @pytest.mark.parametrize("key", ["long", "double", "string"])
 def test_pairs_whose_values_have_several_rows(spark, key):
     rng = random.Random(4)
